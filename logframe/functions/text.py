@@ -37,10 +37,17 @@ def split_breaks(text: Column) -> Column:
 
 
 def clean_utf8(text: Column) -> Column:
-    """Drop the bytes that are not UTF-8. A replacement character that was in the text stays."""
-    guarded = F.replace(text, F.lit(REPLACEMENT), F.lit("\n"))
-    valid = F.replace(F.make_valid_utf8(guarded), F.lit(REPLACEMENT), F.lit(""))
-    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(valid, F.lit("\n"), F.lit(REPLACEMENT)))
+    """Drop the bytes that are not UTF-8. Replacement characters that were in the text stay: while the bad bytes
+    are turned into such characters and removed, an escape sequence stands for the others."""
+
+    def swapped(column: Column, *pairs: tuple[str, str]) -> Column:
+        for old, new in pairs:
+            column = F.replace(column, F.lit(old), F.lit(new))
+        return column
+
+    escaped = F.make_valid_utf8(swapped(text, ("\x01", "\x01\x02"), (REPLACEMENT, "\x01\x03")))
+    cleaned = swapped(escaped, (REPLACEMENT, ""), ("\x01\x03", REPLACEMENT), ("\x01\x02", "\x01"))
+    return F.when(F.is_valid_utf8(text), text).otherwise(cleaned)
 
 
 def empty_to_null(text: Column) -> Column:
