@@ -30,10 +30,11 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE_CHARS))
 
 
-def split_breaks(text: Column) -> Column:
-    """The pieces of a text between line breaks. The pattern runs only on texts that hold a break."""
+def stripped_lines(text: Column) -> Column:
+    """The pieces of a text between line breaks, each stripped. Few texts hold a break; the others are not split."""
     has_break = reduce(or_, [F.contains(text, F.lit(char)) for char in LINE_BREAK_CHARS])
-    return F.when(has_break, F.split(text, f"[{LINE_BREAK_CHARS}]")).otherwise(F.array(text))
+    pieces = F.transform(F.split(text, f"[{LINE_BREAK_CHARS}]"), strip)
+    return F.when(has_break, pieces).otherwise(F.array(strip(text)))
 
 
 def clean_utf8(text: Column) -> Column:
@@ -54,17 +55,23 @@ def empty_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def clean_words(text: Column) -> Column:
-    """The lower-case words of a text, each stripped to letters, digits and ``_ - . / :``. Null gives no word."""
-    kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^a-zA-Z0-9_\-./:\s\x1c-\x1f]+", "")
-    return F.array_remove(F.split(kept, rf"(?U){SPACE}+"), "")
+def clean_pieces(text: Column) -> Column:
+    """``clean_words`` that may begin or end with an empty word."""
+    kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^a-z0-9_\-./:\s\x1c-\x1f]+", "")
+    return split_pieces(kept)
+
 
+def split_pieces(text: Column) -> Column:
+    return F.split(text, f"(?U){SPACE}+")
 
-def split_words(text: Column) -> Column:
-    return F.array_remove(F.split(text, rf"(?U){SPACE}+"), "")
+
+def clean_words(text: Column) -> Column:
+    """The lower-case words of a text, each stripped to letters, digits and ``_ - . / :``. Null gives no word."""
+    return F.array_remove(clean_pieces(text), "")
 
 
 def needs_token(word: Column) -> Column:
-    """False for stop words, numbers and words with a dot, which stay as they are."""
-    all_digits = F.btrim(word, F.lit("0123456789")) == ""
-    return ~(word.isin(*STOP_WORDS) | all_digits | F.contains(word, F.lit(".")))
+    """False for stop words, numbers and words with a dot, which stay as they are, and for no word at all."""
+    # Digits sort before the colon and the letters, so most words are spared the second test.
+    all_digits = (word < ":") & (F.btrim(word, F.lit("0123456789")) == "")
+    return (word != "") & ~(F.contains(word, F.lit(".")) | all_digits | word.isin(*STOP_WORDS))

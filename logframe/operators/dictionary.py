@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import clean_words, needs_token
+from ..functions.text import clean_pieces, needs_token
 from ..schema import DICTIONARY_SCHEMA, LINE_ORDER
 from .numbering import number_rows
 
@@ -54,7 +54,7 @@ def first_occurrences(records: DataFrame, text_col: str, order_by: Sequence[str]
     """
     key = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
     words = records.select(
-        key.alias("record_order"), F.posexplode(F.array_distinct(clean_words(F.col(text_col)))).alias("place", "word")
+        key.alias("record_order"), F.posexplode(F.array_distinct(clean_pieces(F.col(text_col)))).alias("place", "word")
     )
     return (
         words.filter(needs_token(F.col("word")))

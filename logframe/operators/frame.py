@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import split_breaks, strip
+from ..functions.text import stripped_lines
 
 
 def frame_lines(lines: DataFrame, text_col: str = "line") -> DataFrame:
@@ -13,5 +13,5 @@ def frame_lines(lines: DataFrame, text_col: str = "line") -> DataFrame:
     ``part`` tells the pieces of one text apart; the other columns are kept.
     """
     others = [c for c in lines.columns if c not in (text_col, "part")]
-    pieces = lines.select(*others, F.posexplode(split_breaks(F.col(text_col))).alias("part", text_col))
-    return pieces.withColumn(text_col, strip(F.col(text_col))).filter(F.col(text_col) != "")
+    pieces = lines.select(*others, F.posexplode(stripped_lines(F.col(text_col))).alias("part", text_col))
+    return pieces.filter(F.col(text_col) != "")

@@ -6,14 +6,14 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import clean_words, needs_token, split_words
+from ..functions.text import clean_pieces, empty_to_null, needs_token, split_pieces
 from ..schema import LINE_ORDER
 from .dictionary import Dictionary, build_dictionary
 
 # The head of a dictionary is broadcast. These limits bound its size whatever the dictionary holds: at most
 # this many entries, of at most this many characters.
-HEAD_ENTRIES = 200_000
-HEAD_WORD_CHARS = 128
+HEAD_ENTRIES = 500_000
+HEAD_WORD_CHARS = 64
 
 
 def split_head(lookup: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,12 +37,12 @@ def replace_words(
 ) -> DataFrame:
     """Replace each wanted word of a text that ``lookup`` knows, and join the words by spaces.
 
-    Words meet the head of the lookup in a broadcast join. What that leaves open is shuffled by word to the rest
-    of the lookup, if there is one. The words of a record are gathered map-side before the one shuffle that
-    brings them together; its other columns travel with its first word only.
+    Records are shuffled once, whole, by their key. Their words meet the head of the lookup in a broadcast join
+    and are gathered again where they are. Only words that the head leaves open travel, to the rest of the
+    lookup and back, if there is a rest. A record's other columns stay with its first word.
     """
     payload = [c for c in records.columns if c not in key and c != text_col]
-    exploded = records.select(
+    exploded = records.repartition(*key).select(
         *key,
         F.struct(F.col(text_col).isNull().alias("is_null"), *payload).alias("_payload"),
         F.posexplode_outer(words).alias("_pos", "_word"),
@@ -52,7 +52,7 @@ def replace_words(
         *key,
         F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_payload")).alias("_payload"),
         "_pos",
-        "_word",
+        empty_to_null(word).alias("_word"),
         F.when(wanted(word), word).alias("from"),
     )
     head, rest = split_head(lookup)
@@ -68,6 +68,7 @@ def replace_words(
         F.first("_payload", ignorenulls=True).alias("_payload"),
         F.sort_array(F.collect_list(F.struct("_pos", "_token"))).alias("_tokens"),
     )
+    # Nulls, which stand for empty words, are left out.
     text = F.when(~F.col("_payload.is_null"), F.array_join("_tokens._token", " ")).alias(text_col)
     columns = {text_col: text} | {c: F.col("_payload")[c].alias(c) for c in payload}
     return gathered.select(*[columns.get(c, F.col(c)) for c in records.columns])
@@ -85,7 +86,7 @@ def normalize_messages(
     """
     lookup = dictionary.entries.select(F.col("word").alias("from"), F.col("token").alias("to"), "token_no")
     present = records.withColumn(text_col, F.coalesce(text_col, F.lit("")))
-    return replace_words(present, text_col, key, clean_words(F.col(text_col)), needs_token, lookup)
+    return replace_words(present, text_col, key, clean_pieces(F.col(text_col)), needs_token, lookup)
 
 
 def normalize(
@@ -111,5 +112,5 @@ def expand_messages(
         .agg(F.max(F.struct("token_no", "word")).alias("last"))
         .select("from", F.col("last.word").alias("to"), "last.token_no")
     )
-    words = split_words(F.col(text_col))
+    words = split_pieces(F.col(text_col))
     return replace_words(records, text_col, key, words, lambda word: word.isNotNull(), lookup)

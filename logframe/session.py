@@ -16,6 +16,8 @@ def build_session(app_name: str = "logframe", master: str | None = None, **conf:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # HotSpot leaves longer methods uncompiled; beyond this Spark generates smaller ones per operator.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     if master:
         builder = builder.master(master)
