@@ -6,7 +6,7 @@ all header fields and also the verdict: a line that does not match comes back as
 
 The pattern is the costly step. It sits under an ``explode`` of a one-element array: Catalyst pushes filters
 on parsed columns down as far as there and no further, so the pattern runs once per line whatever the query
-asks. Fields that nobody selects are pruned above it.
+asks. The same holds for the search for a rule. Fields that nobody selects are pruned above them.
 """
 
 from __future__ import annotations
@@ -141,7 +141,7 @@ def parse(lines: DataFrame, formats: LogFormat | Mapping[str, LogFormat]) -> Dat
         for attribute in range(3):
             tables[attribute].extend(log_format.rules.values(attribute))
     rule = _per_type(chosen, lambda f: f.rules.number(rule_fields) + starts[f.name])
-    ruled = lowered.select(*fields.columns, rule.alias("_rule"))
+    ruled = lowered.select(*fields.columns, F.explode(F.array(rule)).alias("_rule"))
 
     def looked_up(attribute: int) -> Column:
         return F.element_at(F.array(*map(F.lit, tables[attribute])), F.col("_rule"))

@@ -13,6 +13,7 @@ import os
 import re
 import sys
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -194,29 +195,39 @@ class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.store = LogStore(options["path"], options.get("identity"))
         self.split_bytes = int(options.get("splitbytes", 128 << 20))
+        self.looked_at: dict[tuple, dict] = {}
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
+        logs = self.store.logs()
+        # Files that stayed as they were since the last call are not opened again.
+        keys = {(i.path, i.size, i.mtime_ns, i.path in logs) for infos in logs.values() for i in infos}
+        with ThreadPoolExecutor(16) as pool:
+            fresh = [key for key in keys if key not in self.looked_at]
+            found = dict(zip(fresh, pool.map(self._look_at, fresh)))
+        self.looked_at = {key: self.looked_at.get(key) or found.get(key) for key in keys}
         offset = {}
-        for log, infos in self.store.logs().items():
-            chain = []
-            for info in infos:
-                try:
-                    with self.store.open(info.path) as file:
-                        identity = self.store.identify(file)
-                        size = file.seek(0, os.SEEK_END)
-                        # The current file may end in half a line, which has to wait. A rotated file is finished.
-                        end = complete_end(file, size) if info.path == log else size
-                except FileNotFoundError:
-                    continue
-                if identity is not None:
-                    chain.append({"id": identity, "path": info.path, "end": end})
+        for log, infos in logs.items():
+            chain = [self.looked_at[i.path, i.size, i.mtime_ns, i.path in logs] for i in infos]
+            chain = [file for file in chain if file]
             if chain and chain[-1]["path"] == log:
-                offset[log] = {f"{place:06d}": f for place, f in enumerate(chain)}
+                offset[log] = {f"{place:06d}": file for place, file in enumerate(chain)}
         return offset
 
+    def _look_at(self, key: tuple) -> dict | None:
+        path, _, _, is_current = key
+        try:
+            with self.store.open(path) as file:
+                identity = self.store.identify(file)
+                size = file.seek(0, os.SEEK_END)
+                # The current file may end in half a line, which has to wait. A rotated file is finished.
+                end = complete_end(file, size) if is_current else size
+        except FileNotFoundError:
+            return None
+        return None if identity is None else {"id": identity, "path": path, "end": end}
+
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
         parts, segments = [], {}
         for log, path, file_id, begin, stop in plan_ranges(start, end):
