@@ -42,6 +42,7 @@ from .sinks.files import clear_csv, clear_json, read_csv, read_json, write_csv,
 from .sinks.keyed_table import KeyedTable
 from .sources.files import catalog_files, catalog_paths, mark_existing
 from .sources.lines import read_lines
+from .sources.spread import spread
 from .streaming.tail import SCHEMA as TAIL_SCHEMA, register_tail_source, tail_logs
 
 __all__ = [name for name in dir() if not name.startswith("_")]

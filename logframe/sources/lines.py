@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import paths as path_functions
 from ..functions.text import clean_utf8
+from .spread import spread
 
 
 def decoded_path(encoded: Column) -> Column:
@@ -25,13 +26,13 @@ def read_lines(
     paths: str | Sequence[str],
     log_type: str | None = None,
     tolerant: bool = False,
-    spread: int | None = None,
+    spread_out: bool = False,
 ) -> DataFrame:
     """One row per physical line: ``file_path, filename, log_type, block_start, line_id, line``.
 
     Gzip files are told by their extension. ``log_type`` limits the listing to files of that type, so the other
     files are not opened at all. ``tolerant`` skips files that vanish or are corrupt. A gzip file cannot be
-    split: where a few big ones would leave most executors idle, ``spread`` deals their lines out again.
+    split: where a few big ones would leave most cores idle, ``spread_out`` deals their lines out.
     """
     scan = spark.read.option("recursiveFileLookup", "true")
     if log_type is not None:
@@ -50,4 +51,4 @@ def read_lines(
     )
     type_column = path_functions.log_type(F.col("filename")) if log_type is None else F.lit(log_type)
     lines = lines.select("file_path", "filename", type_column.alias("log_type"), "block_start", "line_id", "line")
-    return lines.repartition(spread) if spread else lines
+    return spread(lines) if spread_out else lines

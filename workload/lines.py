@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from logframe.sources.spread import spread
+
 SYSLOG_PROCESSES = (
     "systemd",
     "rsyslogd",
@@ -134,7 +136,7 @@ LINES = {"auth": auth_line, "syslog": syslog_line, "kern": kern_line, "dpkg": dp
 
 def lines_of(spark: SparkSession, sf_dir: str, log_type: str) -> DataFrame:
     """``event_id, line``: every event as a line of one format."""
-    return table(spark, sf_dir, "events").select("event_id", LINES[log_type]().alias("line"))
+    return spread(table(spark, sf_dir, "events")).select("event_id", LINES[log_type]().alias("line"))
 
 
 def file_path() -> Column:
@@ -147,5 +149,5 @@ def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = concat("GET /", F.col("event_type"), " ", event_id())
     for log_type, make in LINES.items():
         line = F.when(F.startswith(name, F.lit(log_type)), make()).otherwise(line)
-    events = table(spark, sf_dir, "events").select("event_id", file_path().alias("file_path"), line.alias("line"))
+    events = spread(table(spark, sf_dir, "events")).select("event_id", file_path().alias("file_path"), line.alias("line"))
     return events.withColumn("filename", F.substring_index("file_path", "/", -1))

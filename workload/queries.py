@@ -66,11 +66,11 @@ def clean_utf8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in Latin-1 bytes, read as UTF-8."""
     single_byte = F.regexp_replace("text", r"[^\x00-\xff]", "?")
     mislabelled = F.encode(single_byte, "ISO-8859-1").cast("string")
-    return table(spark, sf_dir, "documents").select("doc_id", clean_utf8(mislabelled).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", clean_utf8(mislabelled).alias("text"))
 
 
 def frame_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    framed = lf.frame_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    framed = lf.frame_lines(documents(spark, sf_dir), "text")
     return framed.select("doc_id", F.col("part").cast("bigint").alias("part"), F.col("text").alias("line"))
 
 
@@ -184,7 +184,7 @@ def extracted(field: str) -> Query:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lf.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def document_dictionary(spark: SparkSession, sf_dir: str) -> lf.Dictionary:
