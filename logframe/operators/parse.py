@@ -60,19 +60,20 @@ def layout_pieces(line: Column, pattern: str, layout: str) -> Column:
     return F.split(F.regexp_replace(line, pattern, layout), "\n", -1)
 
 
-def _per_type(formats: Sequence[LogFormat], value: Callable[[LogFormat], Column], default: Column | None = None) -> Column:
-    """The value for the row's log type; a lone format needs no test. Equal values share one branch, so the
-    three formats with the same header have their pattern in the plan once."""
+def _per_type(
+    formats: Sequence[LogFormat],
+    value: Callable[[LogFormat], Column],
+    share: Callable[[LogFormat], object] = lambda log_format: log_format.name,
+) -> Column:
+    """The value for the row's log type, else null; a lone format needs no test. Formats with the same ``share``
+    have one branch for all: the three with the same header have their pattern in the plan once."""
     if len(formats) == 1:
         return value(formats[0])
-    branches: dict[str, tuple[Column, list[str]]] = {}
+    groups: dict[object, list[LogFormat]] = {}
     for log_format in formats:
-        column = value(log_format)
-        branches.setdefault(str(column), (column, []))[1].append(log_format.name)
-    chosen = default if default is not None else F.lit(None)
-    for column, names in reversed(list(branches.values())):
-        chosen = F.when(F.col("log_type").isin(*names), column).otherwise(chosen)
-    return chosen
+        groups.setdefault(share(log_format), []).append(log_format)
+    branches = [F.when(F.col("log_type").isin(*[f.name for f in group]), value(group[0])) for group in groups.values()]
+    return F.coalesce(*branches)
 
 
 def _typed(lines: DataFrame, formats: Sequence[LogFormat]) -> DataFrame:
@@ -89,7 +90,9 @@ def match_lines(lines: DataFrame, formats: Sequence[LogFormat]) -> DataFrame:
     """Framed lines with ``_pieces``: as many as ``LAYOUT_PARTS`` for a match, else one, or null where the log
     type has no format."""
     typed = _typed(lines, formats)
-    pieces = _per_type(formats, lambda f: layout_pieces(F.col("line"), f.pattern, f.layout))
+    pieces = _per_type(
+        formats, lambda f: layout_pieces(F.col("line"), f.pattern, f.layout), lambda f: (f.pattern, f.layout)
+    )
     return typed.select("*", F.explode(F.array(pieces)).alias("_pieces"))
 
 
@@ -146,11 +149,14 @@ def parse(lines: DataFrame, formats: LogFormat | Mapping[str, LogFormat]) -> Dat
     def looked_up(attribute: int) -> Column:
         return F.element_at(F.array(*map(F.lit, tables[attribute])), F.col("_rule"))
 
+    networked = [f.name for f in chosen if f.network]
+
     def network_field(extract: Callable[[Column], Column], kind: str) -> Column:
-        if not any(f.network for f in chosen):
+        if len(networked) == len(chosen):
+            return extract(F.col("message"))
+        if not networked:
             return F.lit(None).cast(kind)
-        missing = F.lit(None).cast(kind)
-        return _per_type(chosen, lambda f: extract(F.col("message")) if f.network else missing, missing)
+        return F.when(F.col("log_type").isin(*networked), extract(F.col("message")))
 
     return ruled.select(
         "log_type",

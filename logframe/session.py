@@ -8,8 +8,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app_name: str = "logframe", master: str | None = None, **conf: object) -> SparkSession:
-    """A session with the settings the operators are tuned for. Keyword names use ``__`` for dots."""
+MIB, GIB = 1 << 20, 1 << 30
+
+
+def sizing(data_bytes: int) -> dict[str, int]:
+    """Split and shuffle sizes for an input of so many bytes.
+
+    Splits grow from 128 MiB to 1 GiB and shuffles from 200 to 50,000 partitions, so that tasks of some GiB at
+    most do not come with more map and reduce pairs than the driver can keep track of.
+    """
+    split = min(max(data_bytes // 100_000, 128 * MIB), GIB)
+    partitions = min(max(data_bytes // GIB, 200), 50_000)
+    return {"spark.sql.files.maxPartitionBytes": split, "spark.sql.shuffle.partitions": partitions}
+
+
+def build_session(
+    app_name: str = "logframe", master: str | None = None, data_bytes: int | None = None, **conf: object
+) -> SparkSession:
+    """A session with the settings the operators are tuned for; ``data_bytes`` adds those of ``sizing``.
+
+    Keyword names use ``__`` for dots.
+    """
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.session.timeZone", "UTC")
@@ -21,8 +40,10 @@ def build_session(app_name: str = "logframe", master: str | None = None, **conf:
     )
     if master:
         builder = builder.master(master)
-    for key, value in conf.items():
-        builder = builder.config(key.replace("__", "."), str(value))
+    settings = sizing(data_bytes) if data_bytes else {}
+    settings.update({key.replace("__", "."): value for key, value in conf.items()})
+    for key, value in settings.items():
+        builder = builder.config(key, str(value))
     return builder.getOrCreate()
 
 

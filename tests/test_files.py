@@ -5,6 +5,7 @@ import pytest
 from pyspark.errors import AnalysisException
 
 import logframe as lf
+from logframe.session import sizing
 
 AUTH = "2026-01-01T00:00:00+00:00 h sshd[1]: Failed password for root from 10.0.0.1 port 22 ssh2\n"
 DPKG = "2026-07-01 10:00:00 install vim:amd64 1.0\n"
@@ -65,6 +66,21 @@ def test_scan_keeps_order_and_bytes(spark, tmp_path):
     assert {(r.filename, r.log_type) for r in rows} == {("syslog", "syslog")}
 
 
+def test_gzip_lines_are_dealt_out(spark, tmp_path):
+    with gzip.open(tmp_path / "syslog.1.gz", "wt") as file:
+        file.write("".join(f"line {i}\n" for i in range(1000)))
+    frame = lf.read_lines(spark, str(tmp_path), spread_out=True)
+    assert frame.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    rows = lf.frame_lines(frame).orderBy("file_path", "block_start", "line_id", "part").collect()
+    assert [r.line for r in rows] == [f"line {i}" for i in range(1000)]
+
+
+def test_sizing():
+    small, large = sizing(10**9), sizing(100 * 10**12)
+    assert small == {"spark.sql.files.maxPartitionBytes": 128 << 20, "spark.sql.shuffle.partitions": 200}
+    assert large == {"spark.sql.files.maxPartitionBytes": 10**9, "spark.sql.shuffle.partitions": 50_000}
+
+
 def test_job_over_real_files(spark, logs):
     files, records = lf.process_logs(spark, str(logs))
     assert {r.filename for r in files.collect()} == {"auth.log", "AUTH.LOG.1", "dpkg.log", "kern.log", "dmesg.1.gz"}
