@@ -4,19 +4,79 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .ann import nearest_neighbours
+from .dualtree import largest_products
+from .html import extract_main_text
+from .language import fit_language, predict_language
 from .minhash import near_duplicates
+from .mixing import mix
+from .packing import pack_documents
+from .quality import fit_quality, score_quality
+from .sample import remainder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer() -> str:
+    """The tokenizer file that every machine has."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = remainder("doc_id", 5)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter(fold != 0)
+    scored = score_quality(docs, fit_quality(docs, labels))
+    return scored.select(
+        "doc_id",
+        (fold == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixture = mix(table(spark, sf_dir, "documents"))
+    return mixture.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return largest_products(vectors, vectors.filter("vec_id % 100 = 0"), 10)
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), text_column="text")
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = remainder("doc_id", 4)
+    found = predict_language(docs.select("doc_id", "text"), fit_language(docs.filter(fold != 2)))
+    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer())
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
