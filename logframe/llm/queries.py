@@ -15,6 +15,7 @@ from .mixing import mix
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .sample import remainder
+from .suffixes import cut_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return largest_products(vectors, vectors.filter("vec_id % 100 = 0"), 10)
