@@ -12,6 +12,7 @@ from .html import extract_main_text
 from .language import fit_language, predict_language
 from .minhash import near_duplicates
 from .mixing import mix
+from .ngrams import score_texts
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .sample import remainder
@@ -33,6 +34,14 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("train"))
+    return score_texts(docs).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op3_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0"), 20)
