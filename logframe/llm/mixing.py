@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .store import stored
+from .store import stored, whole_row
 from .text import pieces, string_bytes, word_spans
 
 #: A step of the selection splits a pattern's documents into so many parts by hash.
@@ -120,6 +120,15 @@ def route(patterns: Sequence[Sequence[int]], sizes: Sequence[int], quotas: Seque
     return Plan([sum(net.room[k ^ 1] for k in arcs) for arcs in uses], {k: net.room[v ^ 1] for k, v in ways.items()})
 
 
+def source_set(docs: DataFrame, sources: Column | str) -> Column:
+    """The different sources of a row in order, null among them or alone."""
+    column = F.col(sources) if isinstance(sources, str) else sources
+    if not docs.select(column.alias("s")).dtypes[0][1].startswith("array"):
+        column = F.array(column.cast("string"))
+    column = F.array_sort(F.array_distinct(F.coalesce(column.cast("array<string>"), F.array().cast("array<string>"))))
+    return F.when(F.size(column) == 0, F.array(F.lit(None).cast("string"))).otherwise(column)
+
+
 def mix(
     docs: DataFrame,
     sources: Column | str = "source",
@@ -144,13 +153,9 @@ def mix(
     0. The same rows give the same result, however they are split. Rows that repeat an id are separate documents with
     the same place in the order. Other columns are ignored; an empty table gives no rows.
     """
-    column = F.col(sources) if isinstance(sources, str) else sources
-    kind = docs.select(column.alias("s")).dtypes[0][1]
-    if not kind.startswith("array"):
-        column = F.array(column.cast("string"))
-    column = F.array_sort(F.array_distinct(F.coalesce(column, F.array())))
-    column = F.when(F.size(column) == 0, F.array(F.lit(None).cast("string"))).otherwise(column)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), column.alias("sources"), F.col(text_column).alias("text"))
+    rows = docs.select(
+        F.col(id_column).cast("long").alias("doc_id"), source_set(docs, sources).alias("sources"), F.col(text_column).alias("text")
+    )
     sized = stored(with_sizes(rows), "sizes")
 
     found = sized.groupBy("sources").agg(F.sum("size").alias("size")).collect()
@@ -225,8 +230,18 @@ def chosen(docs: DataFrame, rounds: int = 4) -> DataFrame:
     return taken.select(*keys, F.lit(1).alias("more"))
 
 
-def mixed_rows(docs: DataFrame, mixture: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The documents of a mixture, each as often as it is taken; ids must be unique."""
-    copies = mixture.filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_copies"))
-    joined = docs.join(copies, F.col(id_column).eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+def mixed_rows(
+    docs: DataFrame, mixture: DataFrame, sources: Column | str = "source", id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """The documents of a mixture made of them, each as often as it is taken.
+
+    Rows with the same id, size and sources are taken equally often, so each of them finds its copies.
+    """
+    often = mixture.filter("copies > 0").select("doc_id", "size", "sources", F.col("copies").cast("int").alias("copies"))
+    size = F.regexp_count(F.coalesce(F.col(text_column), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    own = docs.select(
+        whole_row(docs), F.col(id_column).cast("long").alias("id"), size.alias("words"), source_set(docs, sources).alias("of")
+    )
+    same = [F.col("id").eqNullSafe(F.col("doc_id")), F.col("words") == F.col("size"), F.col("of") == F.col("sources")]
+    joined = own.join(often.distinct(), same)
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

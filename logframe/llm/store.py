@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import scratch_path
 
@@ -12,3 +12,8 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     path = scratch_path(frame.sparkSession, label)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def whole_row(frame: DataFrame) -> Column:
+    """All columns as one, so that others can stand beside them under any name."""
+    return F.struct(*[F.col(f"`{name}`") for name in frame.columns]).alias("row")

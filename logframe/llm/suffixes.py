@@ -285,12 +285,17 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def cut_repeats(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 200, kept_column: str = "kept"
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    length: int = 200,
+    kept_column: str = "kept",
+    as_text: bool = False,
 ) -> DataFrame:
     """Documents without the bytes that lie in a string of ``length`` bytes that also begins anywhere else.
 
     Adds ``n_bytes``, ``removed`` (pairs of first byte and end, in order, apart) and ``kept_column``, the other bytes
-    one after the other. Texts count as UTF-8; matches stay inside a document; repeats in one document, overlapping
+    one after the other: as bytes, or ``as_text`` without what is left of characters that were cut in two. Texts count as UTF-8; matches stay inside a document; repeats in one document, overlapping
     ones too, count. A null text is empty and has nothing removed. Rows that repeat a text, or a whole row, are
     copies: of at least ``length`` bytes, all of them are removed. A null id is an id like others. Columns of
     the new names are replaced, all others stay; an empty table gives no rows. ``length`` must be 100 or more.
@@ -332,9 +337,11 @@ def cut_repeats(
                 removed.append([{"first": a, "end": b} for a, b in cuts])
                 kept.append(b"".join([*rest, text[at:]]))
             kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-            columns = [batch.column("row"), batch.column("n_bytes"), pa.array(removed, kind), pa.array(kept, pa.binary())]
+            rest = pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            columns = [batch.column("row"), batch.column("n_bytes"), pa.array(removed, kind), rest]
             yield pa.RecordBatch.from_arrays(columns, ["row", "n_bytes", "removed", "kept"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(run, f"row {kind}, n_bytes long, removed array<struct<first: long, end: long>>, kept binary")
+    kept_kind = "string" if as_text else "binary"
+    out = joined.mapInArrow(run, f"row {kind}, n_bytes long, removed array<struct<first: long, end: long>>, kept {kept_kind}")
     return out.select("row.*", "n_bytes", "removed", F.col("kept").alias(kept_column))
