@@ -1,18 +1,22 @@
 """A streaming source that follows growing, rotating log files.
 
-The offset of the stream is, per log, the list of its files from the oldest to the current one, each with its
-identity and the byte position up to which it may be read. Files are known by identity and not by name, so a
-rename does not lose the place, and a batch that is replayed after a rename reads the same bytes.
+The offset of the stream is, per log, the list of its files from the oldest to the newest, each with its identity, the
+byte position up to which it may be read, and a hash of the bytes before that position; one of them may be the
+current file. Files are known by identity and those bytes, not by name, so a rename does not lose the place, a new file
+that begins like the old one is told from it, and a batch that is replayed after a rename reads the same bytes. A log
+whose current file is absent, or too short to be told from others yet, stays in the offset by its renamed files.
 """
 
 from __future__ import annotations
 
 import fnmatch
 import hashlib
+import logging
 import os
 import re
 import sys
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -31,7 +35,7 @@ SCHEMA = "log_path string, file_id string, segment int, byte_offset bigint, line
 
 _BLOCK = 4 << 20
 _FIRST_LINE_BYTES = 64 << 10
-_ROTATED_NAME = re.compile(r"[.-]\d+$")
+_CHECK_BYTES = 4 << 10
 
 
 class LogStore:
@@ -52,20 +56,37 @@ class LogStore:
             self.pattern = self.base + pattern[len(fixed) :]
 
     def logs(self) -> dict[str, list[pafs.FileInfo]]:
-        """Current files that match the pattern, each with the other files whose names start with its name."""
+        """The files of each log, oldest first, the current one last if it is there.
+
+        A log is named by the pattern. Its other files are those whose names start with its name; where its current
+        file is absent, it is known by files whose names go on behind a dot or a dash.
+        """
         parts = self.pattern.split("/")
         selector = pafs.FileSelector(self.base, allow_not_found=True, recursive=self.base.count("/") + 2 < len(parts))
-        folders: dict[str, list[pafs.FileInfo]] = {}
+        folders: dict[str, dict[str, pafs.FileInfo]] = {}
         for info in self.files.get_file_info(selector):
             if info.type == pafs.FileType.File and not info.path.endswith(".gz"):
-                folders.setdefault(info.path.rsplit("/", 1)[0], []).append(info)
+                folder, name = info.path.rsplit("/", 1)
+                folders.setdefault(folder, {})[name] = info
         found = {}
-        for infos in folders.values():
-            for info in infos:
-                named = info.path.split("/")
-                if len(named) == len(parts) and all(map(fnmatch.fnmatchcase, named, parts)):
-                    others = [i for i in infos if i.path.startswith(info.path) and i.path != info.path]
-                    found[info.path] = sorted(others, key=lambda i: (i.mtime_ns or 0, i.path)) + [info]
+        for folder, infos in folders.items():
+            above = folder.split("/")
+            if len(above) + 1 != len(parts) or not all(map(fnmatch.fnmatchcase, above, parts)):
+                continue
+            names = sorted(infos)
+            logs = {name for name in names if fnmatch.fnmatchcase(name, parts[-1])}
+            for name in names:
+                if name not in logs:
+                    cuts = (name[: cut.start()] for cut in re.finditer(r"[.-]", name))
+                    logs.update(cut for cut in cuts if cut and fnmatch.fnmatchcase(cut, parts[-1]))
+            for log in logs:
+                others, at = [], bisect_left(names, log)
+                while at < len(names) and names[at].startswith(log):
+                    if names[at] != log:
+                        others.append(infos[names[at]])
+                    at += 1
+                others.sort(key=lambda i: (i.mtime_ns or 0, i.path))
+                found[f"{folder}/{log}"] = others + ([infos[log]] if log in infos else [])
         return found
 
     def open(self, path: str):
@@ -83,8 +104,17 @@ class LogStore:
             return None
         return hashlib.blake2b(line, digest_size=16).hexdigest()
 
-    def open_known(self, path: str, log: str, identity: str):
-        """Open the file with this identity: under the path it was seen at, or else among the log's files."""
+    def holds(self, path: str, end: int, check: str) -> bool:
+        """Whether a file has bytes up to this position, and those before it are the ones that were seen."""
+        try:
+            with self.open(path) as file:
+                return file.seek(0, os.SEEK_END) >= end and bytes_before(file, end) == check
+        except FileNotFoundError:
+            return False
+
+    def open_known(self, path: str, log: str, identity: str, end: int, check: str):
+        """Open the file with this identity and these bytes before ``end``: under the path it was seen at, or else
+        among the log's files."""
         folder = log.rsplit("/", 1)[0]
         selector = pafs.FileSelector(folder)
         candidates = [path] + [i.path for i in self.files.get_file_info(selector) if i.path.startswith(log)]
@@ -95,12 +125,19 @@ class LogStore:
                 file = self.open(candidate)
             except FileNotFoundError:
                 continue
-            if self.identify(file) == identity:
+            if self.identify(file) == identity and file.seek(0, os.SEEK_END) >= end and bytes_before(file, end) == check:
                 return file
             file.close()
         raise FileNotFoundError(f"{path} is gone before its lines were read (file {identity} of {log})")
 
 
+def bytes_before(file, end: int) -> str:
+    """A hash of the last bytes before a position."""
+    start = max(0, end - _CHECK_BYTES)
+    file.seek(start)
+    return hashlib.blake2b(file.read(end - start), digest_size=16).hexdigest()
+
+
 def complete_end(file, size: int) -> int:
     """The position behind the last line feed."""
     end = size
@@ -126,30 +163,57 @@ class ByteRange(InputPartition):
     end: int
     low: int
     high: int
+    check: str = ""
+
 
+def same_files(known: list[dict], chain: list[dict], holds: Callable[[str, int, str], bool]) -> dict[int, dict]:
+    """Which files of a chain were known before: place to what was known.
 
-def plan_ranges(start: dict, end: dict) -> list[tuple[str, str, str, int, int]]:
-    """What to read between two offsets: ``(log, path, file id, begin, end)`` in reading order."""
+    The identity must be the same, and the bytes before the known position. Of several such files the oldest is it. A
+    file of another identity with these bytes is a copy from before the file was emptied, if nothing else is left of it.
+    """
+    matched: dict[int, dict] = {}
+    for same_id in (True, False):
+        for old in known:
+            if any(old is m for m in matched.values()) or not (same_id or old["end"]):
+                continue
+            for place, file in enumerate(chain):
+                if place in matched or (file["id"] == old["id"]) != same_id or file["end"] < old["end"]:
+                    continue
+                unchanged = (file["end"], file["check"]) == (old["end"], old["check"])
+                if unchanged or holds(file["path"], old["end"], old["check"]):
+                    matched[place] = old
+                    break
+    return matched
+
+
+def plan_ranges(
+    start: dict, end: dict, holds: Callable[[str, int, str], bool] = lambda *_: False, rotated_names: str = ""
+) -> list[tuple[str, dict, int]]:
+    """What to read between two offsets: log, file, and the position to read it from, in reading order."""
     ranges = []
-    for log, files in end.items():
-        chain = [files[place] for place in sorted(files)]
-        seen = {f["id"]: f["end"] for f in start.get(log, {}).values()}
-        current = chain[-1]
-        if not seen:
-            ranges.append((log, current["path"], current["id"], 0, current["end"]))
+    for log, now in end.items():
+        chain, current = list(now["files"].values()), now["current"]
+        if log not in start:
+            # At first only the current file is read.
+            ranges += [(log, f, 0) for f in chain if f["path"] == current]
             continue
-        before = start[log][max(start[log])]["id"]
-        rotated = before != current["id"]
-        places = [place for place, f in enumerate(chain) if f["id"] == before]
-        for place, f in enumerate(chain[:-1]):
-            if f["id"] in seen:
-                ranges.append((log, f["path"], f["id"], seen[f["id"]], f["end"]))
-            elif rotated and places and place > places[0] and _ROTATED_NAME.search(f["path"]):
-                ranges.append((log, f["path"], f["id"], 0, f["end"]))
-        begin = seen.get(current["id"], 0)
-        # A file shorter than what was read of it has been emptied and begun anew.
-        ranges.append((log, current["path"], current["id"], begin if begin <= current["end"] else 0, current["end"]))
-    return [r for r in ranges if r[3] < r[4]]
+        known = list(start[log]["files"].values())
+        matched = same_files(known, chain, holds)
+        newest = max((f["mtime"] for f in known), default=0)
+        if any(not any(old is m for m in matched.values()) and old["path"] == start[log]["current"] for old in known):
+            logging.getLogger(__name__).warning("%s: the file read last is gone, and with it what was added to it", log)
+        for place, f in enumerate(chain):
+            if place in matched:
+                ranges.append((log, f, matched[place]["end"]))
+            elif f["path"] == current:
+                ranges.append((log, f, 0))
+            elif f["mtime"] >= newest and re.search(rotated_names, f["path"]):
+                # It came and went since; unless it is a copy of a file that is read anyway.
+                others = [g for k, g in enumerate(chain) if k in matched and g["end"] >= f["end"] > 0]
+                if not any(holds(g["path"], f["end"], f["check"]) for g in others):
+                    ranges.append((log, f, 0))
+    return [r for r in ranges if r[2] < r[1]["end"]]
 
 
 def read_range(file, part: ByteRange) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -195,6 +259,7 @@ class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.store = LogStore(options["path"], options.get("identity"))
         self.split_bytes = int(options.get("splitbytes", 128 << 20))
+        self.rotated_names = options.get("rotatednames", "")
         self.looked_at: dict[tuple, dict] = {}
 
     def initialOffset(self) -> dict:
@@ -212,33 +277,38 @@ class TailReader(DataSourceStreamReader):
         for log, infos in logs.items():
             chain = [self.looked_at[i.path, i.size, i.mtime_ns, i.path in logs] for i in infos]
             chain = [file for file in chain if file]
-            if chain and chain[-1]["path"] == log:
-                offset[log] = {f"{place:06d}": file for place, file in enumerate(chain)}
+            if chain:
+                files = {f"{place:06d}": file for place, file in enumerate(chain)}
+                offset[log] = {"files": files, "current": log if chain[-1]["path"] == log else None}
         return offset
 
     def _look_at(self, key: tuple) -> dict | None:
-        path, _, _, is_current = key
+        path, _, mtime, is_current = key
         try:
             with self.store.open(path) as file:
                 identity = self.store.identify(file)
                 size = file.seek(0, os.SEEK_END)
                 # The current file may end in half a line, which has to wait. A rotated file is finished.
                 end = complete_end(file, size) if is_current else size
+                check = bytes_before(file, end)
         except FileNotFoundError:
             return None
-        return None if identity is None else {"id": identity, "path": path, "end": end}
+        return None if identity is None else {"id": identity, "path": path, "end": end, "check": check, "mtime": mtime or 0}
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
         parts, segments = [], {}
-        for log, path, file_id, begin, stop in plan_ranges(start, end):
+        for log, file, begin in plan_ranges(start, end, self.store.holds, self.rotated_names):
             segment = segments[log] = segments.get(log, -1) + 1
+            stop = file["end"]
             for low in range(begin, stop, self.split_bytes):
                 high = min(low + self.split_bytes, stop)
-                parts.append(ByteRange(log, path, file_id, segment, begin, stop, low, high))
+                parts.append(ByteRange(log, file["path"], file["id"], segment, begin, stop, low, high, file["check"]))
         return parts
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        with self.store.open_known(partition.path, partition.log, partition.file_id) as file:
+        with self.store.open_known(
+            partition.path, partition.log, partition.file_id, partition.end, partition.check
+        ) as file:
             for starts, lines in read_range(file, partition):
                 n = len(lines)
                 columns = [
@@ -268,20 +338,30 @@ def register_tail_source(spark: SparkSession) -> None:
 
 
 def tail_logs(
-    spark: SparkSession, path: str, split_bytes: int | None = None, identity: str | None = None
+    spark: SparkSession,
+    path: str,
+    split_bytes: int | None = None,
+    identity: str | None = None,
+    rotated_names: str | None = None,
 ) -> DataFrame:
     """A stream of the lines added to the logs that match ``path``: a current file's path or a pattern of such.
 
     At first a log's current file is read in full. From then on each batch brings what was added, and after a
-    rotation what the renamed file still had, files rotated in between, and the new file. ``segment`` and
-    ``byte_offset`` order the lines that a batch has of a log. ``split_bytes`` is how much of a file one task
-    reads. Files are identified by inode, or by their first line (``identity="first_line"``) where the file
-    system has none. Progress is kept in the query's checkpoint.
+    rotation what the renamed file still had, files rotated in between, and the new file; also if a batch falls
+    between renaming the old file and creating the new one. ``segment`` and ``byte_offset`` order the lines that a batch has
+    of a log. ``split_bytes`` is how much of a file one task reads; the first batch of a large backlog has a task for
+    each, since sources of this kind are given no limit.
+
+    Files are identified by inode, or by their first line (``identity="first_line"``) where the file system has none, and
+    by the last bytes that were read of them. Files rotated in between are all those with the log's name in front that are
+    not older than what was read last, other than copies of files that are read anyway; ``rotated_names``, a regular
+    expression, limits them by path. Progress is kept in the query's checkpoint. A file that is gone before the rest of it
+    was read fails the batch, or, if it went between two batches, is reported in the driver's log.
     """
     register_tail_source(spark)
     stream = spark.readStream.format(FORMAT).option("path", path)
-    if split_bytes:
-        stream = stream.option("splitBytes", str(split_bytes))
-    if identity:
-        stream = stream.option("identity", identity)
+    options = {"splitBytes": split_bytes, "identity": identity, "rotatedNames": rotated_names}
+    for name, value in options.items():
+        if value:
+            stream = stream.option(name, str(value))
     return stream.load()

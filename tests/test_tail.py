@@ -1,4 +1,5 @@
 import os
+import time
 
 import pytest
 
@@ -32,7 +33,7 @@ def log(tmp_path):
 
 @pytest.mark.parametrize("identity", ["inode", "first_line"])
 def test_read_append_rotate(spark, tmp_path, log, identity):
-    follow = Follower(spark, tmp_path, str(log), identity=identity)
+    follow = Follower(spark, tmp_path, str(log), identity=identity, rotated_names=r"[.-]\d+$")
     (log.parent / "auth.log.1").write_text("from before\n")
     log.write_text("one\ntwo\n")
     assert follow() == ["one", "two"]
@@ -109,9 +110,96 @@ def test_late_lines_of_a_rotated_file(log):
     with (log.parent / "auth.log.1").open("a") as file:
         file.write("late\n")
     third = reader.latestOffset()
-    assert [(r[3], r[4]) for r in plan_ranges(first, second)] == [(0, 4)]
-    assert [(os.path.basename(r[1]), r[3], r[4]) for r in plan_ranges(second, third)] == [("auth.log.1", 4, 9)]
-    assert plan_ranges(third, third) == []
+    holds = reader.store.holds
+    assert [(begin, f["end"]) for _, f, begin in plan_ranges(first, second, holds)] == [(0, 4)]
+    late = [(os.path.basename(f["path"]), begin, f["end"]) for _, f, begin in plan_ranges(second, third, holds)]
+    assert late == [("auth.log.1", 4, 9)]
+    assert plan_ranges(third, third, holds) == []
+
+
+@pytest.mark.parametrize("identity", ["inode", "first_line"])
+def test_trigger_between_rename_and_create(spark, tmp_path, log, identity):
+    follow = Follower(spark, tmp_path, str(log), identity=identity)
+    log.write_text("one\n")
+    assert follow() == ["one"]
+    with log.open("a") as file:
+        file.write("two\n")
+    log.rename(log.parent / "auth.log.1")
+    assert follow() == ["two"]
+    log.write_text("three\n")
+    assert follow() == ["three"]
+    assert follow() == []
+
+
+@pytest.mark.parametrize("identity", ["inode", "first_line"])
+def test_trigger_with_an_empty_new_file(spark, tmp_path, log, identity):
+    follow = Follower(spark, tmp_path, str(log), identity=identity)
+    log.write_text("one\n")
+    assert follow() == ["one"]
+    with log.open("a") as file:
+        file.write("two\n")
+    log.rename(log.parent / "auth.log.1")
+    log.write_text("")
+    assert follow() == ["two"]
+    log.write_text("three\n")
+    assert follow() == ["three"]
+
+
+def test_new_file_that_begins_like_the_old_one(spark, tmp_path, log):
+    follow = Follower(spark, tmp_path, str(log), identity="first_line")
+    log.write_text("header\nold1\n")
+    assert follow() == ["header", "old1"]
+    with log.open("a") as file:
+        file.write("old2\n")
+    log.rename(log.parent / "auth.log.1")
+    log.write_text("header\nnew1\nnew2\n")
+    assert follow() == ["old2", "header", "new1", "new2"]
+    # Replaced in place, with more bytes than were read.
+    log.write_text("header\nlast1\nlast2\nlast3\n")
+    assert follow() == ["header", "last1", "last2", "last3"]
+
+
+def test_rotated_under_any_name(spark, tmp_path, log):
+    follow = Follower(spark, tmp_path, str(log))
+    log.write_text("one\n")
+    assert follow() == ["one"]
+    with log.open("a") as file:
+        file.write("two\n")
+    log.rename(log.parent / "auth.log.older")
+    (log.parent / "auth.log.old").write_text("three\n")
+    log.write_text("four\n")
+    assert follow() == ["two", "three", "four"]
+
+
+def test_copy_and_truncate(spark, tmp_path, log):
+    follow = Follower(spark, tmp_path, str(log))
+    log.write_text("one\n")
+    assert follow() == ["one"]
+    (log.parent / "auth.log.1").write_text("one\ntwo\n")
+    log.write_text("")
+    assert follow() == ["two"]
+    log.write_text("three, and more\n")
+    (log.parent / "auth.log.bak").write_text("three, and more\n")
+    assert follow() == ["three, and more"]
+
+
+def test_old_files_of_a_new_log_are_not_read(log):
+    (log.parent / "auth.log.1").write_text("from before\n")
+    reader = TailReader({"path": str(log)})
+    first = reader.latestOffset()
+    assert reader.partitions({}, first) == []
+    log.write_text("new\n")
+    parts = reader.partitions(first, reader.latestOffset())
+    assert [line for p in parts for b in reader.read(p) for line in b.column("line").to_pylist()] == ["new"]
+
+
+def test_many_logs_are_listed_fast(tmp_path):
+    for k in range(10_000):
+        (tmp_path / f"{k}.log").touch()
+    store = LogStore(f"{tmp_path}/*.log")
+    began = time.perf_counter()
+    assert len(store.logs()) == 10_000
+    assert time.perf_counter() - began < 1
 
 
 def test_ranges_cover_each_line_once(tmp_path):

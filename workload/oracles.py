@@ -340,8 +340,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, log_type, event_id, event_type, "user", port, message FROM stored""",
         "tail_first": f"{AUTH} SELECT line FROM auth_lines",
         "tail_append": f"{AUTH} SELECT event_id % 2 AS round, line FROM auth_lines",
-        "tail_rotation": f"""{AUTH} SELECT CAST(CASE event_id % 3 WHEN 0 THEN 0 ELSE 1 END AS BIGINT) AS round,
-            CAST(CASE event_id % 3 WHEN 2 THEN 1 ELSE 0 END AS INTEGER) AS segment, line FROM auth_lines""",
+        "tail_rotation": f"""{AUTH} SELECT CAST(LEAST(event_id % 5, 3) AS BIGINT) AS round,
+            CAST(CASE event_id % 5 WHEN 4 THEN 1 ELSE 0 END AS INTEGER) AS segment, line FROM auth_lines""",
     }
     for log_type in ("syslog", "kern", "dpkg", "dmesg"):
         sql[f"parse_{log_type}"] = f"{ALL_LINES} {records(log_type, log_type + '_lines')}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -122,22 +123,37 @@ def tail_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tail_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A third of the events first; then a third is appended, the files are renamed and new ones take the rest."""
+    """Five parts of the events. The first is read; the second is appended and the files renamed, with no new ones yet;
+    the third comes in new files; the fourth is appended, the files renamed, and new ones take the last."""
     folder, state = scratch_path(spark, "tail"), scratch_path(spark, "tail-state")
-    logs = write_shards(spark, sf_dir, folder, F.col("event_id") % 3 == 0)
-    first = follow(spark, f"{folder}/*.log", state)
-    more = write_shards(spark, sf_dir, scratch_path(spark, "more"), F.col("event_id") % 3 == 1, len(logs))
-    append_files(spark, list(zip(more, logs)))
+    part = F.col("event_id") % 5
+
+    def append(number: int, logs: list[str]) -> None:
+        more = write_shards(spark, sf_dir, scratch_path(spark, "more"), part == number, len(logs))
+        append_files(spark, list(zip(more, logs)))
+
+    def read() -> DataFrame:
+        return follow(spark, f"{folder}/*.log", state)
+
+    logs = write_shards(spark, sf_dir, folder, part == 0)
+    brought = [read()]
+    append(1, logs)
     for log in logs:
         rename(spark, log, f"{log}.1")
-    write_shards(spark, sf_dir, folder, F.col("event_id") % 3 == 2, len(logs))
-    second = follow(spark, f"{folder}/*.log", state)
-    return rounds(first, second).select("round", "segment", "line")
+    brought.append(read())
+    write_shards(spark, sf_dir, folder, part == 2, len(logs))
+    brought.append(read())
+    append(3, logs)
+    for log in logs:
+        rename(spark, log, f"{log}.0")
+    write_shards(spark, sf_dir, folder, part == 4, len(logs))
+    brought.append(read())
+    return rounds(*brought).select("round", "segment", "line")
 
 
 def rounds(*frames: DataFrame) -> DataFrame:
     numbered = [frame.withColumn("round", F.lit(n).cast("bigint")) for n, frame in enumerate(frames)]
-    return numbered[0].unionByName(numbered[1])
+    return reduce(DataFrame.unionByName, numbered)
 
 
 # Catalogue and reports
