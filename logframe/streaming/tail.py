@@ -67,6 +67,9 @@ class LogStore:
         for info in self.files.get_file_info(selector):
             if info.type == pafs.FileType.File and not info.path.endswith(".gz"):
                 folder, name = info.path.rsplit("/", 1)
+                # As in a shell, hidden files are none of a pattern's; file systems keep checksums in them.
+                if name.startswith(".") and not parts[-1].startswith("."):
+                    continue
                 folders.setdefault(folder, {})[name] = info
         found = {}
         for folder, infos in folders.items():
