@@ -10,20 +10,20 @@ from ..functions.text import clean_pieces, empty_to_null, needs_token, split_pie
 from ..schema import LINE_ORDER
 from .dictionary import Dictionary, build_dictionary
 
-# The head of a dictionary is broadcast. These limits bound its size whatever the dictionary holds: at most
+# The head of a dictionary is broadcast. These defaults bound its size whatever the dictionary holds: at most
 # this many entries, of at most this many characters.
 HEAD_ENTRIES = 500_000
 HEAD_WORD_CHARS = 64
 
 
-def split_head(lookup: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_head(lookup: DataFrame, entries: int, chars: int) -> tuple[DataFrame, DataFrame]:
     """Cut ``from, to, token_no`` into a head of bounded size and the rest.
 
     Tokens are numbered by first occurrence, so the words that most messages hold are in the head, and the
     shuffled join with the rest sees rare words only.
     """
-    short = (F.length("from") <= HEAD_WORD_CHARS) & (F.length("to") <= HEAD_WORD_CHARS)
-    in_head = F.coalesce((F.col("token_no") <= HEAD_ENTRIES) & short, F.lit(False))
+    short = (F.length("from") <= chars) & (F.length("to") <= chars)
+    in_head = F.coalesce((F.col("token_no") <= entries) & short, F.lit(False))
     return lookup.filter(in_head).select("from", "to"), lookup.filter(~in_head).select("from", "to")
 
 
@@ -34,12 +34,15 @@ def replace_words(
     words: Column,
     wanted: Callable[[Column], Column],
     lookup: DataFrame,
+    head_entries: int,
+    head_word_chars: int,
 ) -> DataFrame:
     """Replace each wanted word of a text that ``lookup`` knows, and join the words by spaces.
 
     Records are shuffled once, whole, by their key. Their words meet the head of the lookup in a broadcast join
-    and are gathered again where they are. Only words that the head leaves open travel, to the rest of the
-    lookup and back, if there is a rest. A record's other columns stay with its first word.
+    and are gathered again where they are. The words that the head leaves open travel alone to the rest of the
+    lookup, and what it knows of them travels back to their records. A record's other columns stay with its first
+    word.
     """
     payload = [c for c in records.columns if c not in key and c != text_col]
     exploded = records.repartition(*key).select(
@@ -55,23 +58,22 @@ def replace_words(
         empty_to_null(word).alias("_word"),
         F.when(wanted(word), word).alias("from"),
     )
-    head, rest = split_head(lookup)
-    placed = [*key, "_payload", "_pos", F.coalesce("to", "_word").alias("_token")]
+    head, rest = split_head(lookup, head_entries, head_word_chars)
     met = exploded.join(F.broadcast(head), "from", "left")
-    if rest.isEmpty():
-        tokens = met.select(*placed)
-    else:
-        is_open = F.col("to").isNull() & F.col("from").isNotNull()
-        late = met.filter(is_open).drop("to").join(rest, "from", "left")
-        tokens = met.filter(~is_open).select(*placed).unionByName(late.select(*placed))
-    gathered = tokens.groupBy(*key).agg(
+    gathered = met.groupBy(*key).agg(
         F.first("_payload", ignorenulls=True).alias("_payload"),
-        F.sort_array(F.collect_list(F.struct("_pos", "_token"))).alias("_tokens"),
+        F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("to", "_word").alias("_token")))).alias("_tokens"),
     )
+    is_open = F.col("to").isNull() & F.col("from").isNotNull()
+    found = met.filter(is_open).select(*key, "_pos", "from").join(rest, "from").select(*key, "_pos", "to")
+    late = found.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "to"))).alias("_late"))
+    joined = gathered.join(late, list(key), "left")
+    place = lambda t: F.coalesce(F.try_element_at("_late", t["_pos"]), t["_token"])
+    tokens = F.when(F.col("_late").isNull(), F.col("_tokens._token")).otherwise(F.transform("_tokens", place))
     # Nulls, which stand for empty words, are left out.
-    text = F.when(~F.col("_payload.is_null"), F.array_join("_tokens._token", " ")).alias(text_col)
+    text = F.when(~F.col("_payload.is_null"), F.array_join(tokens, " ")).alias(text_col)
     columns = {text_col: text} | {c: F.col("_payload")[c].alias(c) for c in payload}
-    return gathered.select(*[columns.get(c, F.col(c)) for c in records.columns])
+    return joined.select(*[columns.get(c, F.col(c)) for c in records.columns])
 
 
 def normalize_messages(
@@ -79,14 +81,17 @@ def normalize_messages(
     dictionary: Dictionary,
     text_col: str = "message",
     key: Sequence[str] = tuple(LINE_ORDER),
+    head_entries: int = HEAD_ENTRIES,
+    head_word_chars: int = HEAD_WORD_CHARS,
 ) -> DataFrame:
     """Texts in cleaned words, each replaced by its token where it has one. Null becomes empty.
 
-    ``key`` must tell all records apart.
+    ``key`` must tell all records apart and hold no null. At most ``head_entries`` words of at most ``head_word_chars``
+    characters are broadcast; the others are joined by a shuffle of the words that need them.
     """
     lookup = dictionary.entries.select(F.col("word").alias("from"), F.col("token").alias("to"), "token_no")
     present = records.withColumn(text_col, F.coalesce(text_col, F.lit("")))
-    return replace_words(present, text_col, key, clean_pieces(F.col(text_col)), needs_token, lookup)
+    return replace_words(present, text_col, key, clean_pieces(F.col(text_col)), needs_token, lookup, head_entries, head_word_chars)
 
 
 def normalize(
@@ -94,10 +99,12 @@ def normalize(
     dictionary: Dictionary | None = None,
     text_col: str = "message",
     order_by: Sequence[str] = tuple(LINE_ORDER),
+    head_entries: int = HEAD_ENTRIES,
+    head_word_chars: int = HEAD_WORD_CHARS,
 ) -> tuple[DataFrame, Dictionary]:
     """Extend the dictionary by the records' words, then normalise the records with it."""
     extended = build_dictionary(records, text_col, order_by, dictionary)
-    return normalize_messages(records, extended, text_col, order_by), extended
+    return normalize_messages(records, extended, text_col, order_by, head_entries, head_word_chars), extended
 
 
 def expand_messages(
@@ -105,12 +112,19 @@ def expand_messages(
     dictionary: Dictionary,
     text_col: str = "message",
     key: Sequence[str] = tuple(LINE_ORDER),
+    head_entries: int = HEAD_ENTRIES,
+    head_word_chars: int = HEAD_WORD_CHARS,
 ) -> DataFrame:
-    """Tokens back to words; other words stay. Where two words share a token, the later one is taken."""
+    """Tokens back to words; other words stay. Where two words share a token, the later one is taken.
+
+    Only words of the dictionary's token form are looked up; with an imported dictionary, whose tokens may be any
+    words, all of them are.
+    """
     lookup = (
         dictionary.entries.groupBy(F.col("token").alias("from"))
         .agg(F.max(F.struct("token_no", "word")).alias("last"))
         .select("from", F.col("last.word").alias("to"), "last.token_no")
     )
-    words = split_pieces(F.col(text_col))
-    return replace_words(records, text_col, key, words, lambda word: word.isNotNull(), lookup)
+    words, form = split_pieces(F.col(text_col)), dictionary.token_form
+    wanted = lambda word: word.isNotNull() if form is None else F.rlike(word, F.lit(form))
+    return replace_words(records, text_col, key, words, wanted, lookup, head_entries, head_word_chars)

@@ -1,21 +1,33 @@
 import json
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import logframe as lf
-from logframe.operators import normalize as normalize_module
+from logframe.operators.dictionary import drop_old_versions
 
 MESSAGES = [
-    "Failed password for root from 192.168.1.10",
-    "Accepted password for admin from 10.0.0.5",
-    "Connection refused by server",
-    "Authentication failure detected",
-    "Failed password for invalid user root",
+    "Password rejected for carol from 10.1.1.9",
+    "Session granted for dave at 7",
+    "Connection to db-main closed by peer",
+    "authentication: Failed!",
+    "Password rejected for dave, again",
+]
+TOKENS = [
+    "TK0002 TK0005 for TK0006 from 10.1.1.9",
+    "TK0007 TK0008 for TK0009 at 7",
+    "TK0004 to TK0010 TK0011 by TK0012",
+    "TK0013 TK0001",
+    "TK0002 TK0005 for TK0009 TK0014",
+]
+WORDS = [
+    "password rejected for carol from 10.1.1.9",
+    "session granted for dave at 7",
+    "connection to db-main closed by peer",
+    "authentication: failed",
+    "password rejected for dave again",
 ]
-STOP = "for from the and to of on in a an is was at by with".split()
 
 
 def frame_of(spark, messages, partitions=4):
@@ -24,60 +36,32 @@ def frame_of(spark, messages, partitions=4):
     return spark.createDataFrame(rows, "seq bigint, message string").repartition(partitions)
 
 
-def brute_force(messages, known):
-    """Tokens one message after the other."""
-    known, counter, out = dict(known), len(known) + 1, []
-    for message in messages:
-        words = [re.sub(r"[^a-zA-Z0-9_\-./:]", "", w) for w in (message or "").lower().split()]
-        done = []
-        for word in filter(None, words):
-            if word not in STOP and not word.isdigit() and "." not in word:
-                if word not in known:
-                    known[word] = f"TK{counter:04d}"
-                    counter += 1
-                word = known[word]
-            done.append(word)
-        out.append(" ".join(done))
-    return out, known
-
-
-def test_known_messages(spark):
-    tokens, dictionary = lf.normalize(frame_of(spark, MESSAGES), order_by=["seq"])
-    assert [r.message for r in tokens.orderBy("seq").collect()] == [
-        "TK0001 TK0002 for TK0005 from 192.168.1.10",
-        "TK0006 TK0002 for TK0007 from 10.0.0.5",
-        "TK0004 TK0008 by TK0009",
-        "TK0003 TK0010 TK0011",
-        "TK0001 TK0002 for TK0012 TK0013 TK0005",
-    ]
-    assert (dictionary.size(), dictionary.counter) == (13, 14)
-    words = lf.expand_messages(tokens, dictionary, key=["seq"]).orderBy("seq").collect()
-    assert [r.message for r in words] == [m.lower() for m in MESSAGES]
-
-
-@pytest.mark.parametrize("head", [None, 5])
-def test_against_brute_force(spark, monkeypatch, head):
+@pytest.mark.parametrize("head", [{}, {"head_entries": 3, "head_word_chars": 6}])
+def test_known_messages(spark, head):
     """Also with most of the dictionary beyond the broadcast head."""
-    if head is not None:
-        monkeypatch.setattr(normalize_module, "HEAD_ENTRIES", head)
-        monkeypatch.setattr(normalize_module, "HEAD_WORD_CHARS", 8)
-    chooser = random.Random(5)
-    vocabulary = [f"w{i}" for i in range(300)] + ["Root", "the", "12", "1.5", "a,b", "!!!", "é", "averyveryverylongword", ":"]
-    messages = [" ".join(chooser.choices(vocabulary, k=chooser.randrange(12))) for _ in range(300)] + [None, "", " \t"]
-    messages += ["Root hot words here"] * 150
-    seed = {"failed": "TK0001", "password": "TK0002", "authentication": "TK0003", "connection": "TK0004"}
-    wanted, known = brute_force(messages, seed)
+    tokens, dictionary = lf.normalize(frame_of(spark, MESSAGES), order_by=["seq"], **head)
+    assert [r.message for r in tokens.orderBy("seq").collect()] == TOKENS
+    assert (dictionary.size(), dictionary.counter) == (14, 15)
+    words = lf.expand_messages(tokens, dictionary, key=["seq"], **head).orderBy("seq").collect()
+    assert [r.message for r in words] == WORDS
+
+
+@pytest.mark.parametrize("head", [{}, {"head_entries": 5, "head_word_chars": 8}])
+def test_many_messages(spark, head):
+    """Words w0, w1, ... in order, so that message i has the tokens from 5 + 3i on; every third message ends alike."""
+    messages = [f"W{3 * i} the w{3 * i + 1} {i}, w{3 * i + 2}" for i in range(300)] + [None, "", " \t", "!!!"]
+    tokens = [f"TK{5 + 3 * i:04d} the TK{6 + 3 * i:04d} {i} TK{7 + 3 * i:04d}" for i in range(300)] + ["", "", "", ""]
+    messages += ["averyveryverylongword : Failed 1.5"] * 150
+    tokens += ["TK0905 TK0906 TK0001 1.5"] * 150
     records = frame_of(spark, messages).withColumn("other", F.struct(F.col("seq").alias("x")))
-    tokens, dictionary = lf.normalize(records, order_by=["seq"])
-    got = tokens.orderBy("seq").collect()
-    assert tokens.columns == ["seq", "message", "other"]
-    assert [r.message for r in got] == wanted
-    assert [r.other.x for r in got] == list(range(len(messages)))
-    assert {r.word: r.token for r in dictionary.entries.collect()} == known
-    assert dictionary.counter == len(known) + 1
-    reverse = {t: w for w, t in known.items()}
-    expanded = lf.expand_messages(tokens, dictionary, key=["seq"]).orderBy("seq").collect()
-    assert [r.message for r in expanded] == [" ".join(reverse.get(w, w) for w in t.split()) for t in wanted]
+    got, dictionary = lf.normalize(records, order_by=["seq"], **head)
+    rows = got.orderBy("seq").collect()
+    assert got.columns == ["seq", "message", "other"]
+    assert [r.message for r in rows] == tokens
+    assert [r.other.x for r in rows] == list(range(len(messages)))
+    assert dictionary.counter == 907
+    expanded = lf.expand_messages(got, dictionary, key=["seq"], **head).orderBy("seq").collect()
+    assert expanded[7].message == "w21 the w22 7 w23" and expanded[-1].message == "averyveryverylongword : failed 1.5"
 
 
 def test_numbers_do_not_depend_on_partitions(spark):
@@ -96,6 +80,15 @@ def test_order_by_several_columns(spark):
     assert [r.word for r in dictionary.entries.orderBy("token_no").collect()] == ["zero", "first", "second"]
 
 
+def test_line_order(spark, tmp_path):
+    """File, block, line and piece, in this order; a word's first record is not its first row."""
+    rows = [("/b", 0, 5, 0, "late"), ("/a", 64, 1, 0, "third two"), ("/a", 0, 9, 1, "two"), ("/a", 0, 9, 0, "one"), ("/a", 0, -1, 0, "zero")]
+    records = spark.createDataFrame(rows, "file_path string, block_start bigint, line_id bigint, part int, message string")
+    built = lf.build_dictionary(records, dictionary=lf.clear_dictionary(spark))
+    words = [r.word for r in built.entries.orderBy("token_no").collect()]
+    assert words == ["zero", "one", "two", "third", "late"]
+
+
 def test_second_build_goes_on(spark):
     first = lf.build_dictionary(frame_of(spark, ["one two"]), order_by=["seq"])
     second = lf.build_dictionary(frame_of(spark, ["two three"]), order_by=["seq"], dictionary=first)
@@ -116,16 +109,40 @@ def test_save_and_load(spark, tmp_path):
     built = lf.build_dictionary(frame_of(spark, MESSAGES), order_by=["seq"])
     lf.save_dictionary(built, path)
     loaded = lf.load_dictionary(spark, path)
-    assert (loaded.size(), loaded.counter) == (13, 14)
+    assert (loaded.size(), loaded.counter) == (14, 15)
     # Saving to where it was loaded from.
     more = lf.build_dictionary(frame_of(spark, ["brandnew"]), order_by=["seq"], dictionary=loaded)
     lf.save_dictionary(more, path)
-    assert lf.load_dictionary(spark, path).entries.filter("word = 'brandnew'").first().token == "TK0014"
+    assert lf.load_dictionary(spark, path).entries.filter("word = 'brandnew'").first().token == "TK0015"
     lf.save_dictionary(lf.clear_dictionary(spark), path)
     cleared = lf.load_dictionary(spark, path)
     assert (cleared.size(), cleared.counter) == (0, 1)
 
 
+def test_torn_save_is_no_version(spark, tmp_path):
+    path = str(tmp_path / "dictionary")
+    built = lf.build_dictionary(frame_of(spark, MESSAGES), order_by=["seq"])
+    lf.save_dictionary(built, path)
+    # A save that broke off has written entries, but not its version.
+    built.entries.limit(3).write.parquet(f"{path}/entries/2")
+    loaded = lf.load_dictionary(spark, path)
+    assert (loaded.size(), loaded.counter) == (14, 15)
+    lf.save_dictionary(loaded, path)
+    lf.save_dictionary(loaded, path)
+    drop_old_versions(spark, path)
+    assert sorted(p.name for p in (tmp_path / "dictionary" / "entries").iterdir()) == ["3"]
+    assert lf.load_dictionary(spark, path).size() == 14
+
+
+def test_repeated_words_of_a_text(spark, tmp_path):
+    path = tmp_path / "twice.json"
+    path.write_text('{"counter": 5, "word_to_token": {"bb": "TK0001", "aa": "TK0003", "bb": "TK0002"}}')
+    loaded = lf.import_dictionary(spark, str(path))
+    assert {r.word: r.token for r in loaded.entries.collect()} == {"aa": "TK0003", "bb": "TK0002"}
+    tokens = lf.normalize_messages(frame_of(spark, ["aa bb cc"]), loaded, key=["seq"])
+    assert tokens.first().message == "TK0003 TK0002 cc"
+
+
 def test_import(spark, tmp_path):
     good, bad, bare = tmp_path / "good.json", tmp_path / "bad.json", tmp_path / "bare.json"
     good.write_text(json.dumps({"counter": 9, "word_to_token": {"b": "TK0002", "A": "TK0001", "c": "TK0002"}}, indent=4))

@@ -1,7 +1,8 @@
 """What the plans must and must not hold."""
 
 import logframe as lf
-from logframe.operators import normalize as normalize_module
+from logframe.operators.dictionary import first_occurrences
+from logframe.schema import LINE_ORDER
 
 
 def plan(frame):
@@ -50,11 +51,28 @@ def test_preview_does_not_sort_everything(spark, tmp_path):
     assert "TakeOrderedAndProject" in plan(lf.preview(lf.parse_auth(lines(spark, tmp_path)), 5, ["id"]))
 
 
-def test_only_the_head_of_a_dictionary_is_broadcast(spark, tmp_path, monkeypatch):
-    records = lines(spark, tmp_path).selectExpr("id", "line message")
+def test_exchanges_of_normalising(spark, tmp_path):
+    records = lines(spark, tmp_path).selectExpr("id", "line message", "filename")
     dictionary = lf.build_dictionary(records, order_by=["id"])
-    small = plan(lf.normalize_messages(records, dictionary, key=["id"]))
-    assert "BroadcastHashJoin" in small and small.count("Exchange hashpartitioning") == 1
-    monkeypatch.setattr(normalize_module, "HEAD_ENTRIES", 2)
-    large = plan(lf.normalize_messages(records, dictionary, key=["id"]))
-    assert "BroadcastHashJoin" in large and large.count("Exchange hashpartitioning") > 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        text = plan(lf.normalize_messages(records, dictionary, key=["id"], head_entries=2))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in text
+    # Whole records by key; open words and the rest of the dictionary by word; what was found by key.
+    exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning" in line or "ReusedExchange" in line]
+    by_key = [line for line in exchanges if "hashpartitioning(id" in line and "REPARTITION" in line]
+    by_word = [line for line in exchanges if "hashpartitioning(from" in line]
+    back = [line for line in exchanges if "hashpartitioning(id" in line and "ENSURE" in line]
+    # The first exchange is planned for both branches and runs once.
+    assert len(by_key) in (1, 2) and len(by_word) == 2 and len(back) == 1
+
+
+def test_dictionary_of_lines_is_hash_aggregated(spark, tmp_path):
+    schema = "file_path string, block_start bigint, line_id bigint, part int, message string"
+    path = str(tmp_path / "records")
+    spark.createDataFrame([("/a", 0, 0, 0, "some words")], schema).write.parquet(path)
+    words, order = first_occurrences(spark.read.schema(schema).parquet(path), "message", LINE_ORDER)
+    assert order == ["block", "packed"]
+    assert "HashAggregate" in plan(words) and "SortAggregate" not in plan(words)

@@ -83,6 +83,7 @@ mixed_lines AS (
   JOIN dpkg_lines p USING (event_id) JOIN dmesg_lines m USING (event_id)
 )"""
 
+# The patterns of lines and fields.
 HEADER = r"'^(\S+)\s+(\S+)\s+([^\[:]+)(?:\[(\d+)\])?:\s*(.*)$'"
 DPKG = r"'^(\S+\s+\S+)\s+(\w+)\s+(\S+)(?:\s+(.*))?$'"
 DMESG = r"'^\[\s*([0-9.]+)\]\s+(.*)$'"
@@ -119,6 +120,7 @@ def message_has(words: list[str]) -> list[str]:
     return [f"contains(lower(message), '{w}')" for w in words]
 
 
+# The rules of each log type, in order of precedence.
 AUTH_CLASS = classified(
     message_has(
         ["failed password", "accepted password", "invalid user", "session opened", "session closed",
@@ -213,6 +215,7 @@ def framed(relation: str, key: str, text: str) -> str:
 
 def word_rows(relation: str, key: str, text: str) -> str:
     """Cleaned words with their places, and whether a token stands for them."""
+    # The words that stay, and below the words a dictionary starts with.
     cleaned = rf"""regexp_replace(lower(coalesce({text}, '')), '{SPACES}+', ' ', 'g')"""
     return f"""SELECT {key}, pos, word, NOT (
         word IN ('for', 'from', 'the', 'and', 'to', 'of', 'on', 'in', 'a', 'an', 'is', 'was', 'at', 'by', 'with')
@@ -315,13 +318,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, coalesce(tokens.text, '') AS text FROM documents LEFT JOIN tokens USING (doc_id)""",
         "expand_messages": f"""{DOCS}, plain AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text FROM words GROUP BY doc_id)
             SELECT doc_id, coalesce(plain.text, '') AS text FROM documents LEFT JOIN plain USING (doc_id)""",
+        "build_dictionary_lines": f"""{AUTH}, {dictionary('auth_records', 'event_id', 'message')}
+            SELECT word, token, token_no FROM dictionary""",
         "normalize_records": f"""{AUTH}, {dictionary('auth_records', 'event_id', 'message')}, tokens AS ({normalized('event_id')})
             SELECT r.* REPLACE (coalesce(tokens.text, '') AS message) FROM auth_records r LEFT JOIN tokens USING (event_id)""",
         "dictionary_load": f"""WITH {DICTIONARY_TEXTS}, good AS (
-              SELECT event_id, value FROM texts WHERE json_valid(value)),
+              SELECT event_id, value FROM texts WHERE event_id % 10 <> 3 AND json_valid(value)),
             entries AS (SELECT event_id, coalesce(CAST(json_extract(value, '$.counter') AS BIGINT), 1) AS counter,
               json_extract(value, '$.word_to_token') AS entry_map, unnest(json_keys(value, '$.word_to_token')) AS word FROM good)
-            SELECT event_id, counter, word, json_extract_string(entry_map, '$."' || word || '"') AS token FROM entries""",
+            SELECT event_id, counter, word, json_extract_string(entry_map, '$."' || word || '"') AS token FROM entries
+            UNION ALL SELECT event_id, 1, 'w', 'TK0003' FROM events WHERE event_id % 10 = 3
+            UNION ALL SELECT event_id, 1, event_type, 'TK0002' FROM events WHERE event_id % 10 = 3""",
         "dictionary_stats": f"""{DOCS}, raw_words AS (
               SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents)
             SELECT 'size' AS stat, count(*) AS n FROM dictionary UNION ALL
@@ -343,6 +350,8 @@ def oracle_sql() -> dict[str, str]:
         "tail_rotation": f"""{AUTH} SELECT CAST(LEAST(event_id % 5, 3) AS BIGINT) AS round,
             CAST(CASE event_id % 5 WHEN 4 THEN 1 ELSE 0 END AS INTEGER) AS segment, line FROM auth_lines""",
     }
+    for name in ("normalize_messages", "expand_messages"):
+        sql[f"{name}_large"] = sql[name]
     for log_type in ("syslog", "kern", "dpkg", "dmesg"):
         sql[f"parse_{log_type}"] = f"{ALL_LINES} {records(log_type, log_type + '_lines')}"
     for log_type in PATTERNS:

@@ -223,6 +223,27 @@ def expand_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lf.expand_messages(tokens, dictionary, "text", ["doc_id"])
 
 
+def normalize_messages_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With most of the dictionary beyond the part that is broadcast, as in a large corpus."""
+    dictionary = document_dictionary(spark, sf_dir)
+    return lf.normalize_messages(documents(spark, sf_dir), dictionary, "text", ["doc_id"], head_entries=200)
+
+
+def expand_messages_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens, dictionary = lf.normalize(documents(spark, sf_dir), None, "text", ["doc_id"], head_entries=200)
+    return lf.expand_messages(tokens, dictionary, "text", ["doc_id"], head_entries=200)
+
+
+def build_dictionary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From scanned lines, in the order of files, blocks, lines and pieces. Files are named by the lines' first event."""
+    lines = lines_of(spark, sf_dir, "auth")
+    folder = scratch_path(spark, "ordered")
+    numbered = lines.repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+    write_parts(numbered, folder)
+    records = lf.parse_auth(lf.read_lines(spark, folder))
+    return lf.build_dictionary(records).entries
+
+
 def normalize_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lf.normalize(auth_records(spark, sf_dir), order_by=["event_id"])[0]
 
@@ -241,7 +262,8 @@ def dictionary_load(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"counter": ', event_id % 5000, ', "word_to_token": {"', F.col("event_type"), '": "TK0001", "u',
         F.col("user_id"), '": "TK0002"}}',
     )
-    text = F.when(kind == 0, "").when(kind == 1, "{bad").when(kind == 2, no_counter).otherwise(whole)
+    twice = concat('{"word_to_token": {"w": "TK0001", "', F.col("event_type"), '": "TK0002", "w": "TK0003"}}')
+    text = F.when(kind == 0, "").when(kind == 1, "{bad").when(kind == 2, no_counter).when(kind == 3, twice).otherwise(whole)
     texts = table(spark, sf_dir, "events").select("event_id", text.alias("value"))
     return lf.parse_dictionary_json(texts).select("event_id", "counter", "word", "token")
 
@@ -337,6 +359,9 @@ def queries() -> dict[str, Query]:
         "build_dictionary": lambda spark, sf_dir: document_dictionary(spark, sf_dir).entries,
         "normalize_messages": normalize_messages,
         "expand_messages": expand_messages,
+        "build_dictionary_lines": build_dictionary_lines,
+        "normalize_messages_large": normalize_messages_large,
+        "expand_messages_large": expand_messages_large,
         "normalize_records": normalize_records,
         "dictionary_roundtrip": dictionary_roundtrip,
         "dictionary_load": dictionary_load,
