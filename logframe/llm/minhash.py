@@ -10,11 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
+from .groups import meet_in_blocks, sorted_groups
 from .store import stored
 from .text import BASE, U64, mix, pieces, shingle_hashes, word_hashes
 
 #: So many candidates of one star are compared in one group.
-STAR_PART = 256
+STAR_PART = 64
+#: Members of a bucket that are compared by their sketches in one group.
+REST_BLOCK = 1024
+#: Documents of a component whose texts are compared in one group.
+TEXT_BLOCK = 256
 
 
 @lru_cache
@@ -37,8 +42,8 @@ def densify(values: np.ndarray, filled: np.ndarray) -> None:
         rows, columns = rows[~found], columns[~found]
 
 
-def sketch(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """A row of band keys for each sorted set of 64-bit hashes.
+def sketch(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row of band keys, and one byte of each bin, for each sorted set of 64-bit hashes.
 
     One pass of one hash: its upper half says the bin, the smallest hash in a bin is the bin's value.
     """
@@ -57,7 +62,7 @@ def sketch(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
         for k in range(rows):
             keys = keys * U64(BASE) + values[:, k::rows]
         keys += mix(np.arange(1, bands + 1, dtype=U64))
-    return mix(keys)
+    return mix(keys), (mix(values) & U64(0xFF)).astype(np.uint8)
 
 
 def text_sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
@@ -66,7 +71,7 @@ def text_sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
 
 
 def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n, sum, xor, bands`` of ``doc_id, text``; sum and xor stand for the whole set of shingles."""
+    """``doc_id, n, sum, xor, bands, bins`` of ``doc_id, text``; sum and xor stand for the whole set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,7 +80,8 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     total = np.array([mix(s).sum(dtype=U64) for s in sets], U64)
                 xor = np.array([np.bitwise_xor.reduce(s) if len(s) else 0 for s in sets], U64)
-                keys = pa.array(sketch(sets, bands, rows).view(np.int64).ravel())
+                keys, bins = sketch(sets, bands, rows)
+                keys = pa.array(keys.view(np.int64).ravel())
                 ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
                 columns = [
                     part.column("doc_id"),
@@ -83,10 +89,11 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     pa.array(total.view(np.int64)),
                     pa.array(xor.view(np.int64)),
                     pa.ListArray.from_arrays(ends, keys),
+                    pa.array([b.tobytes() for b in bins], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sum", "xor", "bands"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sum", "xor", "bands", "bins"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sum long, xor long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, sum long, xor long, bands array<long>, bins binary")
 
 
 def confirm(stars: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -181,11 +188,9 @@ def near_duplicates(
     links = stored(confirm(stars, docs, size, percent), "links")
     found = stored(components(links), "components")
 
-    more = stored(rest(members, found, percent), "stars").join(stars, ["centre", "doc_id"], "left_anti")
-    more = more.join(stars.select(F.col("doc_id").alias("centre"), F.col("centre").alias("doc_id")), ["centre", "doc_id"], "left_anti")
-    more = stored(more, "stars")
-    if not more.isEmpty():
-        others = stored(confirm(more, docs, size, percent), "links")
+    asked = stored(rest(members, found, marked, percent), "asked")
+    if not asked.isEmpty():
+        others = stored(meet_components(asked, found, docs, size, percent, bands, rows), "links")
         if not others.isEmpty():
             found = stored(components(links.unionByName(others)), "components")
 
@@ -197,18 +202,85 @@ def near_duplicates(
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def rest(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket that are in different components, with a member outside its centre's component."""
+def may_be_similar(size: int, bins: np.ndarray, sizes: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the other sets can have that share in common, by their sizes and the bytes of their bins."""
+    small, large = np.minimum(size, sizes), np.maximum(size, sizes)
+    share = percent / 100
+    # Five deviations below the share; a set of few shingles fills few bins by itself.
+    least = share - 5 * np.sqrt(share * (1 - share) / np.minimum(bins.shape[0], np.maximum(small, 1)))
+    possible = 100 * small >= percent * large
+    at = np.flatnonzero(possible)
+    possible[at] = (others[at] == bins).mean(axis=1) >= least[at]
+    return possible
+
+
+def rest(members: DataFrame, found: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
+    """``component, doc_id``: members outside their bucket's main component, and the other components they may belong to.
+
+    Members of one bucket are looked at in blocks, by their numbers of shingles and their bins.
+    """
     of = lambda column: F.coalesce("component", column)
     placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = placed.withColumn("own", of("doc_id")).drop("component")
     placed = placed.join(found.withColumnRenamed("node", "centre"), "centre", "left")
     placed = stored(placed.withColumn("main", of("centre")).drop("component"), "buckets")
-    apart = placed.filter("own <> main").select(
-        "key", F.col("doc_id").alias("a"), F.col("own").alias("a_own"), F.col("n").alias("a_n")
-    )
-    pairs = apart.join(placed, "key").filter(F.col("a_own") != F.col("own"))
-    # Of two members outside the main component, the smaller is the centre.
-    pairs = pairs.filter((F.col("own") == F.col("main")) | (F.col("a") < F.col("doc_id")))
-    close = 100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n")
-    return pairs.filter(close & (F.col("doc_id") != F.col("centre"))).select(F.col("a").alias("centre"), "doc_id").distinct()
+    mixed = placed.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low < high")
+    placed = placed.join(mixed.select("key"), "key").join(marked.select("doc_id", "n", "bins"), ["doc_id", "n"])
+    placed = stored(placed.select("key", "doc_id", "n", "own", "main", "bins"), "buckets")
+    apart = placed.filter("own <> main")
+    together = meet_in_blocks(apart, placed, "key", F.col("doc_id"), F.col("doc_id"), REST_BLOCK, REST_BLOCK)
+
+    def compare(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        kinds, ids, sizes, own, main = (rows.column(c).to_numpy() for c in ("kind", "doc_id", "n", "own", "main"))
+        bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        split = int((kinds == 0).sum())
+        theirs = slice(split, None)
+        pairs = set()
+        for k in range(split):
+            # Of two members outside the main component, the smaller asks.
+            other = (own[theirs] != own[k]) & ((own[theirs] == main[theirs]) | (ids[k] < ids[theirs]))
+            there = split + np.flatnonzero(other)
+            there = there[may_be_similar(sizes[k], bins[k], sizes[there], bins[there], percent)]
+            pairs.update((component, ids[k]) for component in np.unique(own[there]))
+        return tuple(np.array(sorted(pairs), np.int64).reshape(-1, 2).T)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_groups(batches, ["key", "q", "v"]):
+            a, b = compare(rows)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["component", "doc_id"])
+
+    return together.mapInArrow(run, "component long, doc_id long").distinct()
+
+
+def meet_components(
+    asked: DataFrame, found: DataFrame, docs: DataFrame, size: int, percent: int, bands: int, rows: int
+) -> DataFrame:
+    """``centre, doc_id``: a confirmed link of each asking document with each block of a component that has one."""
+    single = asked.select("component", F.col("component").alias("doc_id")).distinct()
+    others = found.join(single.select("component"), "component").select("component", F.col("node").alias("doc_id"))
+    others = others.unionByName(single).distinct()
+    together = meet_in_blocks(
+        asked.join(docs, "doc_id").select("component", "doc_id", "text"),
+        others.join(docs, "doc_id").select("component", "doc_id", "text"),
+        "component", F.col("doc_id"), F.col("doc_id"), TEXT_BLOCK, TEXT_BLOCK,
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["component", "q", "v"]):
+            split = int((group.column("kind").to_numpy() == 0).sum())
+            ids, sets = group.column("doc_id").to_numpy(), text_sets(group, size)
+            sizes = np.array([len(s) for s in sets])
+            bins = sketch(sets, bands, rows)[1]
+            links = []
+            for k in range(split):
+                there = may_be_similar(sizes[k], bins[k], sizes[split:], bins[split:], percent)
+                for j in split + np.flatnonzero(there):
+                    if similar(sets[k], sets[j], percent):
+                        links.append((ids[k], ids[j]))
+                        break
+            if links:
+                a, b = (pa.array(x, pa.int64()) for x in zip(*links))
+                yield pa.RecordBatch.from_arrays([a, b], ["centre", "doc_id"])
+
+    return together.mapInArrow(run, "centre long, doc_id long")
