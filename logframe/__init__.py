@@ -5,6 +5,7 @@ from .operators.dictionary import (
     build_dictionary,
     clear_dictionary,
     contains_words,
+    drop_old_versions,
     import_dictionary,
     load_dictionary,
     parse_dictionary_json,
@@ -40,7 +41,7 @@ from .plans.jobs import UnsupportedLogType, process_logs, report_totals, run_rep
 from .session import build_session
 from .sinks.files import clear_csv, clear_json, read_csv, read_json, write_csv, write_json
 from .sinks.keyed_table import KeyedTable
-from .sources.files import catalog_files, catalog_paths, mark_existing
+from .sources.files import broken_files, catalog_files, catalog_paths, mark_existing
 from .sources.lines import read_lines
 from .sources.spread import spread
 from .streaming.tail import SCHEMA as TAIL_SCHEMA, register_tail_source, tail_logs

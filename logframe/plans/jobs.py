@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.parse import FORMATS, LogFormat, is_match, match_lines, parse
-from ..sources.files import catalog_files, mark_existing
+from ..operators.parse import FORMATS, LogFormat, is_match, match_lines, parse_all
+from ..sources.files import catalog_files, catalog_paths, existing_roots, mark_existing
 from ..sources.lines import read_lines
 
 
+EMPTY_LINES = "file_path string, filename string, log_type string, block_start bigint, line_id bigint, line string"
+
+
 class UnsupportedLogType(ValueError):
     """Files were given for which there is no format."""
 
@@ -25,16 +27,22 @@ def process_logs(
 ) -> tuple[DataFrame, DataFrame]:
     """``(files, records)`` for all log files under the paths; they join on ``path`` = ``file_path``.
 
-    Each format scans the files of its own type only. Files without a format are an error, or with
-    ``strict=False`` just not read.
+    One scan reads the files of all formats' types and no others. Files without a format are an error, or with
+    ``strict=False`` just not read. ``tolerant`` leaves out paths under which there is nothing, and what can't be read;
+    ``run_report`` tells of both.
     """
+    if tolerant:
+        paths = existing_roots(spark, [paths] if isinstance(paths, str) else paths)
+        if not paths:
+            nothing = spark.createDataFrame([], "path string, length bigint")
+            lines = spark.createDataFrame([], EMPTY_LINES)
+            return catalog_paths(nothing), parse_all(lines, formats)
     files = catalog_files(spark, paths)
     if strict:
         unsupported = files.filter(~F.col("log_type").isin(*formats)).select("path", "log_type").take(1)
         if unsupported:
             raise UnsupportedLogType(f"no format for log type {unsupported[0].log_type!r} of {unsupported[0].path}")
-    scans = [parse(read_lines(spark, paths, name, tolerant), log_format) for name, log_format in formats.items()]
-    return files, reduce(DataFrame.unionByName, scans)
+    return files, parse_all(read_lines(spark, paths, list(formats), tolerant), formats)
 
 
 def run_report(
@@ -42,10 +50,12 @@ def run_report(
     lines: DataFrame,
     formats: Mapping[str, LogFormat] = FORMATS,
     expected: DataFrame | None = None,
+    broken: DataFrame | None = None,
 ) -> DataFrame:
     """One row per file: its metadata, how many lines and records it gave, and a status.
 
-    The status is ok, empty (no record), unsupported (no format) or, for paths of ``expected`` (column ``path``)
+    The status is failed for files of ``broken`` (as ``broken_files`` gives them; what could be read of them is
+    counted), else ok, empty (no record), unsupported (no format) or, for paths of ``expected`` (column ``path``)
     that are not among the files, missing. Lines are counted per file where they are read; the join sees one
     row per file on either side.
     """
@@ -62,6 +72,10 @@ def run_report(
         .when(n_records == 0, F.lit("empty"))
         .otherwise(F.lit("ok"))
     )
+    if broken is not None:
+        names = broken.select(F.col("path").alias("_broken")).distinct()
+        report = report.join(names, report["path"] == names["_broken"], "left")
+        status = F.when(F.col("_broken").isNotNull(), F.lit("failed")).otherwise(status)
     report = report.select(
         *shown, F.coalesce("n_lines", F.lit(0)).alias("n_lines"), n_records.alias("n_records"), status.alias("status")
     )

@@ -24,19 +24,20 @@ def any_case_glob(prefix: str) -> str:
 def read_lines(
     spark: SparkSession,
     paths: str | Sequence[str],
-    log_type: str | None = None,
+    log_type: str | Sequence[str] | None = None,
     tolerant: bool = False,
     spread_out: bool = False,
 ) -> DataFrame:
     """One row per physical line: ``file_path, filename, log_type, block_start, line_id, line``.
 
-    Gzip files are told by their extension. ``log_type`` limits the listing to files of that type, so the other
-    files are not opened at all. ``tolerant`` skips files that vanish or are corrupt. A gzip file cannot be
+    Gzip files are told by their extension. ``log_type`` limits the listing to files of that type, or of
+    those types, so the other files are not opened at all. ``tolerant`` skips files that vanish or are corrupt. A gzip file cannot be
     split: where a few big ones would leave most cores idle, ``spread_out`` deals their lines out.
     """
     scan = spark.read.option("recursiveFileLookup", "true")
     if log_type is not None:
-        scan = scan.option("pathGlobFilter", any_case_glob(log_type))
+        types = [log_type] if isinstance(log_type, str) else list(log_type)
+        scan = scan.option("pathGlobFilter", "{" + ",".join(map(any_case_glob, types)) + "}")
     if tolerant:
         scan = scan.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
     lines = (
@@ -49,6 +50,6 @@ def read_lines(
         )
         .withColumn("filename", path_functions.filename(F.col("file_path")))
     )
-    type_column = path_functions.log_type(F.col("filename")) if log_type is None else F.lit(log_type)
+    type_column = F.lit(log_type) if isinstance(log_type, str) else path_functions.log_type(F.col("filename"))
     lines = lines.select("file_path", "filename", type_column.alias("log_type"), "block_start", "line_id", "line")
     return spread(lines) if spread_out else lines

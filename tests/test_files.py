@@ -105,8 +105,9 @@ def test_report(spark, logs):
     (logs / "foo.txt").write_text("x\n")
     files, lines = lf.catalog_files(spark, str(logs)), lf.read_lines(spark, str(logs))
     present = files.select("path").first().path
-    asked = spark.createDataFrame([(present,), ("file:/nowhere/auth.log",)], "path string")
-    report = lf.run_report(files, lines, expected=asked)
+    # Plain paths are those of the listing.
+    asked = [(present,), (present.removeprefix("file:"),), ("file://" + present.removeprefix("file:"),), ("/nowhere/auth.log",)]
+    report = lf.run_report(files, lines, expected=spark.createDataFrame(asked, "path string"))
     found = {(r.path.rsplit("/", 1)[1], r.status, r.n_lines, r.n_records) for r in report.collect()}
     assert found == {
         ("auth.log", "ok", 4, 3), ("AUTH.LOG.1", "ok", 1, 1), ("dpkg.log", "ok", 2, 2), ("kern.log", "empty", 1, 0),
@@ -114,3 +115,21 @@ def test_report(spark, logs):
     assert tuple(lf.report_totals(report).first()) == (5, 8)
     chars = {Path(r.file_path).name: (r.n_lines, r.n_chars) for r in lf.chars_read(lines).collect()}
     assert chars["auth.log"] == (4, 3 * (len(AUTH) - 1) + 4)
+
+
+def test_run_over_some_files(spark, tmp_path):
+    """Absent paths are left out, and a torn file is told from a whole one."""
+    (tmp_path / "auth.log").write_text(AUTH * 3)
+    whole = gzip.compress((DMESG * 20_000).encode(), mtime=0)
+    (tmp_path / "dmesg.1.gz").write_bytes(whole)
+    (tmp_path / "dmesg.2.gz").write_bytes(whole[: len(whole) // 2])
+    paths = [str(tmp_path), str(tmp_path / "absent" / "kern.log")]
+    files, records = lf.process_logs(spark, paths, tolerant=True)
+    assert records.filter("log_type = 'auth'").count() == 3
+    lines = lf.read_lines(spark, str(tmp_path), tolerant=True)
+    asked = spark.createDataFrame([(paths[1],)], "path string")
+    report = lf.run_report(files, lines, expected=asked, broken=lf.broken_files(files))
+    found = {r.path.rsplit("/", 1)[1]: (r.status, r.n_records) for r in report.collect()}
+    assert found.pop("dmesg.2.gz")[0] == "failed"
+    assert found == {"auth.log": ("ok", 3), "dmesg.1.gz": ("ok", 20_000), "kern.log": ("missing", 0)}
+    assert lf.process_logs(spark, paths[1:], tolerant=True)[1].count() == 0

@@ -1,5 +1,6 @@
 import csv
 import json
+import shutil
 
 from pyspark.sql import functions as F, types as T
 
@@ -75,6 +76,25 @@ def test_keyed_table(spark, tmp_path):
     assert table.count() == 3
 
 
+def test_broken_append_and_clear(spark, tmp_path):
+    table = lf.KeyedTable(spark, str(tmp_path / "keyed"))
+    frame = spark.range(5).withColumnRenamed("id", "k")
+    table.append(frame, order_by=["k"])
+    # Rows without their log: an append that broke off. A clearing that broke off has left its rows.
+    frame.selectExpr("0 part", "k place", "'torn' data").write.parquet(f"{table.rows_path}/2")
+    assert table.count() == 5
+    table.append(frame, order_by=["k"])
+    assert [r.id for r in table.read().orderBy("id").collect()] == list(range(1, 11))
+    assert {json.loads(r.data)["k"] for r in table.read().collect()} == set(range(5))
+    shutil.copytree(table.rows_path, tmp_path / "left")
+    table.clear()
+    shutil.copytree(tmp_path / "left", table.rows_path)
+    assert (table.count(), table.last_id()) == (0, 10)
+    table.clear()
+    table.append(frame)
+    assert sorted(r.id for r in table.read().collect()) == list(range(11, 16))
+
+
 def test_numbers_with_one_frequent_value(spark):
     frame = spark.range(0, 5000, 1, 8).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("key"), "id")
     numbered = lf.number_rows(frame, "n", order_by=["key"], start=10).orderBy("n").collect()

@@ -26,6 +26,29 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot rename {source} to {target}")
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename into a folder that need not be there yet."""
+    hadoop_path, file_system = _file_system(spark, target)
+    file_system.mkdirs(hadoop_path(target).getParent())
+    rename(spark, source, target)
+
+
+def cut_in_half(spark: SparkSession, path: str) -> None:
+    """Keep the first half of a file's bytes."""
+    hadoop_path, file_system = _file_system(spark, path)
+    half = file_system.getFileStatus(hadoop_path(path)).getLen() // 2
+    source = file_system.open(hadoop_path(path))
+    target = file_system.create(hadoop_path(path + ".half"))
+    while half:
+        block = source.readNBytes(min(half, 4 << 20))
+        target.write(block)
+        half -= len(block)
+    source.close()
+    target.close()
+    file_system.delete(hadoop_path(path), False)
+    rename(spark, path + ".half", path)
+
+
 def write_parts(lines: DataFrame, folder: str, compression: str = "none") -> list[str]:
     """Write the column ``line`` as text, one file per task; gives the files' paths."""
     lines.select("line").write.option("compression", compression).text(folder)

@@ -345,6 +345,25 @@ def oracle_sql() -> dict[str, str]:
             stored AS (SELECT row_number() OVER (ORDER BY event_id) AS id, * FROM a UNION ALL
               SELECT (SELECT count(*) FROM a) + row_number() OVER (ORDER BY event_id), * FROM k)
             SELECT id, log_type, event_id, event_type, "user", port, message FROM stored""",
+        "table_clear": f"""{ALL_LINES}, a AS ({records('auth', 'auth_lines')}), k AS ({records('kern', 'kern_lines')})
+            SELECT 'row' AS step, event_id AS n, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY event_id) AS id FROM k
+            UNION ALL SELECT 'append', count(*), count(*) FROM a UNION ALL SELECT 'clear', 0, count(*) FROM a
+            UNION ALL SELECT 'append again', (SELECT count(*) FROM k), count(*) + (SELECT count(*) FROM k) FROM a""",
+        "catalog_files": """SELECT stem || suffix AS filename, log_type, compressed, k AS rotation, extension,
+              CASE WHEN compressed THEN 'gzip' ELSE 'file' END AS reader, stem, suffix
+            FROM (SELECT k, log_type, compressed, CASE WHEN compressed THEN log_type || '.' || k ELSE log_type || '.log' END AS stem,
+                CASE WHEN compressed THEN '.gz' ELSE '.' || k END AS suffix, suffix AS extension
+              FROM (SELECT DISTINCT event_id % 4 AS k FROM events),
+                (VALUES ('auth', false), ('nginx', false), ('dmesg', true), ('syslog', true)) AS t(log_type, compressed))""",
+        "run_report_files": f"""{ALL_LINES}, a AS ({records('auth', 'auth_lines')}), d AS ({records('dmesg', 'dmesg_lines')}),
+            n AS (SELECT k, count(*) AS n_lines, (SELECT count(*) FROM a WHERE event_id % 4 = k) AS n_auth,
+              (SELECT count(*) FROM d WHERE event_id % 4 = k) AS n_dmesg FROM (SELECT event_id % 4 AS k FROM auth_lines) GROUP BY k)
+            SELECT 'auth.log.' || k AS filename, 'auth' AS log_type, 'file' AS reader, k AS rotation, n_lines, n_auth AS n_records,
+              'ok' AS status FROM n
+            UNION ALL SELECT 'dmesg.' || k || '.gz', 'dmesg', 'gzip', k, n_lines, n_dmesg, 'ok' FROM n
+            UNION ALL SELECT 'nginx.log.' || k, 'nginx', 'file', k, n_lines, 0, 'unsupported' FROM n
+            UNION ALL SELECT 'syslog.' || k || '.gz', 'syslog', 'gzip', k, NULL, NULL, 'failed' FROM n
+            UNION ALL SELECT 'absent.log', NULL, NULL, NULL, 0, 0, 'missing'""",
         "tail_first": f"{AUTH} SELECT line FROM auth_lines",
         "tail_append": f"{AUTH} SELECT event_id % 2 AS round, line FROM auth_lines",
         "tail_rotation": f"""{AUTH} SELECT CAST(LEAST(event_id % 5, 3) AS BIGINT) AS round,

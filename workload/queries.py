@@ -13,7 +13,7 @@ from logframe.functions.text import clean_utf8, clean_words, needs_token
 from logframe.schema import RECORD_SCHEMA
 from logframe.session import scratch_path
 
-from .files import append_files, rename, write_logs, write_parts
+from .files import append_files, cut_in_half, move, rename, write_logs, write_parts
 from .lines import LINES, concat, file_path, lines_of, mixed_lines, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,6 +180,40 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, sf_dir).select("path", "log_type", "reader", "rotation", "n_lines", "n_records", "status")
 
 
+FILE_SHARDS = 4
+
+
+def write_catalogue(spark: SparkSession, sf_dir: str) -> str:
+    """Files of four kinds, each a fourth of the events' lines: plain, gzip, without a format, and gzip cut in half."""
+    folder = scratch_path(spark, "catalogue")
+    for log_type, name in {"auth": "auth.log.{}", "dmesg": "dmesg.{}.gz", "kern": "nginx.log.{}", "syslog": "syslog.{}.gz"}.items():
+        for shard in range(FILE_SHARDS):
+            lines = lines_of(spark, sf_dir, log_type).filter(F.col("event_id") % FILE_SHARDS == shard)
+            parts = write_parts(lines.coalesce(1), scratch_path(spark, "shard"), "gzip" if name.endswith("gz") else "none")
+            move(spark, parts[0], f"{folder}/{name.format(shard)}")
+            if log_type == "syslog":
+                cut_in_half(spark, f"{folder}/{name.format(shard)}")
+    return folder
+
+
+def catalog_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = lf.catalog_files(spark, write_catalogue(spark, sf_dir))
+    return files.select("filename", "log_type", "compressed", "rotation", "extension", "reader", "stem", "suffix")
+
+
+def run_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of real files; what can be read of a torn one is left open."""
+    folder = write_catalogue(spark, sf_dir)
+    paths = [folder, f"{folder}/absent.log"]
+    files, _ = lf.process_logs(spark, paths, strict=False, tolerant=True)
+    asked = files.select("path").unionByName(spark.createDataFrame([(paths[1],)], "path string"))
+    lines = lf.read_lines(spark, folder, tolerant=True)
+    report = lf.run_report(files, lines, expected=asked, broken=lf.broken_files(files))
+    whole = lambda name: F.when(F.col("status") != "failed", F.col(name)).alias(name)
+    name = F.substring_index("path", "/", -1).alias("filename")
+    return report.select(name, "log_type", "reader", "rotation", whole("n_lines"), whole("n_records"), "status")
+
+
 def parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lf.parse_rejects(mixed_lines(spark, sf_dir)).select("event_id", "log_type", "line", "reason")
 
@@ -333,6 +367,21 @@ def table_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.read().select("id", F.from_json("data", fields).alias("record")).select("id", "record.*")
 
 
+def table_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append, clear, append: ids go on. Also the number of rows and the last id after each step."""
+    stored = lf.KeyedTable(spark, scratch_path(spark, "keyed"))
+    steps = []
+    for step in ("append", "clear", "append again"):
+        if step == "clear":
+            stored.clear()
+        else:
+            stored.append(parsed("auth" if step == "append" else "kern")(spark, sf_dir), order_by=["event_id"])
+        steps.append((step, stored.count(), stored.last_id()))
+    rows = stored.read().select("id", F.from_json("data", "event_id bigint").alias("record"))
+    rows = rows.select(F.lit("row").alias("step"), F.col("record.event_id").alias("n"), F.col("id"))
+    return rows.unionByName(spark.createDataFrame(steps, "step string, n bigint, id bigint"))
+
+
 def queries() -> dict[str, Query]:
     registered: dict[str, Query] = {
         "read_plain": read_plain,
@@ -370,7 +419,10 @@ def queries() -> dict[str, Query]:
         "csv_roundtrip": csv_roundtrip,
         "sink_counts": sink_counts,
         "table_append": table_append,
+        "table_clear": table_clear,
+        "catalog_files": catalog_files,
         "run_report": run_report,
+        "run_report_files": run_report_files,
         "report_totals": on_records(lf.report_totals, report),
     }
     for log_type in LINES:
