@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,63 +15,103 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .store import stored
-from .text import pieces
+from .text import pieces, ragged
 
-#: The words of a task's cache; when it is full it starts afresh.
-CACHE_WORDS = 200_000
+#: The words of a cache; there are two of them.
+CACHE_WORDS = 250_000
+#: A word that is one token.
+MARK = "~"
 #: A block of pieces that one task packs at a time: tokens, and pieces.
 BLOCK_TOKENS, BLOCK_PIECES = 1 << 20, 2048
 
 _spaces = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
+class WordCodes(dict):
+    """Numbers words as they are first looked up."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        return code
+
+
 class WordEncoder:
-    """Token ids of texts whose tokenizer never joins text over white space: each distinct word is encoded once."""
+    """Token ids of texts whose tokenizer never joins text over white space: each distinct word is encoded once.
+
+    Words are encoded many at a time, with a mark between them that is one token; those with the mark inside are
+    encoded each by itself. A full cache becomes the old one, from which words still move to the new one.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        # Tasks already use all cores.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
+        self.mark = self._ids(MARK)
+        self.codes, self.ids, self.ends = WordCodes(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self._turn()
+
+    def _turn(self) -> None:
+        self.old_codes, self.old_ids, self.old_ends = self.codes, self.ids, self.ends
+        self.codes, self.ids, self.ends = WordCodes(), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def clear(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.ids = np.zeros(0, np.int32)
-        self.ends = np.zeros(1, np.int64)
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.codes) > CACHE_WORDS:
-            self.clear()
-        codes, fresh, known = self.codes, [], len(self.codes)
+            self._turn()
+        known, look = len(self.codes), self.codes.__getitem__
         rows = []
         for text in texts:
             text = text or ""
             # str.split() also takes these four for white space.
             words = _spaces.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-            row = []
-            for word in words:
-                code = codes.get(word)
-                if code is None:
-                    code = codes[word] = known + len(fresh)
-                    fresh.append(word)
-                row.append(code)
-            rows.append(np.array(row, np.int64))
-        if fresh:
-            new = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
-            lengths = np.cumsum([len(x) for x in new])
-            self.ids = np.concatenate([self.ids, *(np.array(x, np.int32) for x in new)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + lengths])
-        return [self._gather(row) for row in rows]
-
-    def _gather(self, row: np.ndarray) -> np.ndarray:
-        first, lengths = self.ends[row], self.ends[row + 1] - self.ends[row]
-        shift = np.repeat(first - np.cumsum(lengths) + lengths, lengths)
-        return self.ids[shift + np.arange(len(shift))]
+            rows.append(np.array(list(map(look, words)), np.int64))
+        if len(self.codes) > known:
+            self._learn(list(itertools.islice(self.codes, known, None)))
+        return [self.ids[ragged(self.ends[row], self.ends[row + 1] - self.ends[row])] for row in rows]
+
+    def _learn(self, words: list[str]) -> None:
+        old = np.array([self.old_codes.get(word, -1) for word in words], np.int64)
+        moved, new = np.flatnonzero(old >= 0), np.flatnonzero(old < 0)
+        ids, new_lengths = self._encode_words([words[k] for k in new])
+        lengths = np.empty(len(words), np.int64)
+        lengths[new] = new_lengths
+        lengths[moved] = self.old_ends[old[moved] + 1] - self.old_ends[old[moved]]
+        ends = np.cumsum(lengths)
+        out = np.empty(ends[-1], np.int32)
+        out[ragged(ends[new] - lengths[new], lengths[new])] = ids
+        out[ragged(ends[moved] - lengths[moved], lengths[moved])] = self.old_ids[ragged(self.old_ends[old[moved]], lengths[moved])]
+        self.ids = np.concatenate([self.ids, out])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + ends])
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each word has."""
+        ids, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        alone = [k for k, word in enumerate(words) if MARK in word or len(self.mark) != 1]
+        for a, b in zip([-1, *alone], [*alone, len(words)]):
+            for at in range(a + 1, b, 500):
+                found = self._ids(f" {MARK} ".join(words[at : min(b, at + 500)]))
+                marks = np.flatnonzero(found == self.mark[0])
+                lengths.append(np.diff(np.concatenate([[-1], marks, [len(found)]])) - 1)
+                ids.append(np.delete(found, marks))
+            if b < len(words):
+                ids.append(self._ids(words[b]))
+                lengths.append(np.array([len(ids[-1])]))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker, as the file takes long to read."""
+    return WordEncoder(path)
 
 
 def token_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple]:
     """``doc_id, ids, number of prompt ids`` of each row of ``doc_id, prompt, text``."""
-    encoder = WordEncoder(path)
+    encoder = word_encoder(path)
     for batch in batches:
         for part in pieces(batch, "text"):
             prompts = encoder.encode(part.column("prompt").to_pylist())

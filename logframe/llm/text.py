@@ -122,6 +122,12 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(mix(total + U64(size)))
 
 
+def ragged(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places ``first, first + 1, ...`` of each row, one row after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(first - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20, most_rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batch in parts whose texts have about so many bytes together; a longer text is a part of its own."""
     texts = batch.column(column)
