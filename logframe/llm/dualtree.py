@@ -12,6 +12,8 @@ from .vectors import balanced_centres, best, common_length, distinct_vectors, pe
 
 #: A node with so few points is not split further.
 LEAF = 64
+#: Nor one whose points fall into more groups than this at the next level, most of them small.
+FAN = 64
 
 
 class CoverTree:
@@ -48,7 +50,7 @@ class CoverTree:
                 inside = gaps <= cover
                 groups.append((centre, rows[inside], gaps[inside]))
                 rows = rows[~inside]
-                if len(rows) and len(groups) >= LEAF and len(rows) > len(groups) * LEAF:
+                if len(rows) and len(groups) >= FAN:
                     # Points this far from each other have no groups at this level; the node stays a leaf.
                     groups = []
                     break

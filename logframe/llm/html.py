@@ -19,7 +19,8 @@ _markup = re.compile(
     r"|<(script|style|noscript|template|svg|iframe|object|title|textarea|select|button)\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
     r"|<(/?)([a-z][^\s/>]*)([^>]*)>"
-    r"|<[!?][^>]*>",
+    r"|<[!?][^>]*>"
+    r"|<[a-z/!?][^<>]*\Z",
     re.IGNORECASE | re.DOTALL,
 )
 _attribute = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)

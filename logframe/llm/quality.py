@@ -110,8 +110,11 @@ def fit_quality(
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_column: str = "text", score_column: str = "score") -> DataFrame:
-    """Add each whole text's probability of label 1. A null or empty text gets that of no difference at all."""
-    names = docs.columns
+    """Add each whole text's probability of label 1. A null or empty text gets that of no difference at all.
+
+    A column of the new name is replaced, all others stay; repeated rows are scored each; an empty table gives no rows.
+    """
+    names = [c for c in docs.columns if c.lower() != score_column.lower()]
     with_text = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,5 +126,6 @@ def score_quality(docs: DataFrame, model: QualityModel, text_column: str = "text
                 found = np.array([difference(data[a:b], good, bad) for a, b in zip(offsets[:-1], offsets[1:])])
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(model.score(found))], ["row", "score"])
 
-    scored = with_text.mapInArrow(run, f"row {docs.schema.simpleString()}, score double")
+    kind = with_text.schema["row"].dataType.simpleString()
+    scored = with_text.mapInArrow(run, f"row {kind}, score double")
     return scored.select("row.*", F.col("score").alias(score_column))
