@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,6 +36,7 @@ def build_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # HotSpot leaves longer methods uncompiled; beyond this Spark generates smaller ones per operator.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
@@ -58,7 +60,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = context.getCheckpointDir()
     if not root:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="logframe-")
     if not context.getCheckpointDir():
