@@ -65,7 +65,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(docs, fit_quality(docs, labels))
     return scored.select(
         "doc_id",
-        (fold == 0).alias("held_out"),
+        F.coalesce(fold == 0, F.lit(False)).alias("held_out"),
         "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
     )
@@ -102,7 +102,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = remainder("doc_id", 4)
     found = predict_language(docs.select("doc_id", "text"), fit_language(docs.filter(fold != 2)))
-    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
