@@ -87,7 +87,8 @@ def top_products(k: int):
         places = np.argpartition(-rough, most - 1, axis=1)[:, :most]
         # Summed in one order wherever a vector stands, so that what is equal comes out equal.
         scores = (queries[:, None, :] * vectors[places]).sum(axis=2)
-        return list(zip(places, scores))
+        reached = scores >= floors[:, None]
+        return [(p[ok], s[ok]) for p, s, ok in zip(places, scores, reached)]
 
     return search
 
@@ -103,8 +104,9 @@ def nearest_neighbours(
     sample: int = 50_000,
     replicas: int = 4,
     closure: float = 0.1,
-    probes: int = 128,
-    prune: float = 0.3,
+    probes: int = 192,
+    ahead: int = 8,
+    prune: float = 0.4,
     seed: int = 3,
 ) -> DataFrame:
     """The ``k`` vectors found with the largest inner product with each query: ``query_id, rank, vec_id, score``.
@@ -118,7 +120,8 @@ def nearest_neighbours(
     at most ``most_lists``; their means are the lists' centres. Every vector goes to its nearest centre's list, and near a
     border to up to ``replicas`` lists: those at most ``1 + closure`` times as far away, unless another of its lists'
     centres is nearer to that centre than the vector is. A query looks at up to ``probes`` lists whose centres are at
-    most ``1 + prune`` times as far away as the nearest one. Centres are found over their graph. Equal vectors are one
+    most ``1 + prune`` times as far away as the nearest one: first at the nearest ``ahead``, however far, then at the others,
+    of which it gets only what reaches its k-th score so far. Centres are found over their graph. Equal vectors are one
     entry with its ``k + 1`` smallest ids; long lists are searched in blocks by many tasks.
     """
     column = F.transform(F.col(vector_column), lambda x: x.cast("double") + F.lit(0.0)).alias("vector")
@@ -136,7 +139,7 @@ def nearest_neighbours(
 
     def place(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         graph = CentreGraph(centres)
-        found, squares = graph.nearest(lifted(rows, longest, False), 4 * replicas)
+        found, squares = graph.nearest(lifted(rows, longest, False), 16 * replicas)
         gaps = np.sqrt(squares)
         taken = np.zeros(found.shape, bool)
         for j in range(found.shape[1]):
@@ -147,11 +150,22 @@ def nearest_neighbours(
         rows, places = np.nonzero(taken)
         return rows, found[rows, places]
 
-    def ask(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found, squares = CentreGraph(centres).nearest(lifted(rows, longest, True), probes)
-        rows, places = np.nonzero((found >= 0) & (squares <= (1 + prune) ** 2 * squares[:, :1] + 1e-12))
-        return rows, found[rows, places]
+    def ask(first: int, last: int | None):
+        def run(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            found, squares = CentreGraph(centres).nearest(lifted(rows, longest, True), probes)
+            near = (found >= 0) & (squares <= (1 + prune) ** 2 * squares[:, :1])
+            # In a tight group the nearest centre is no measure: the first lists are searched anyway.
+            near[:, :ahead] = found[:, :ahead] >= 0
+            rows, places = np.nonzero(near[:, first:last])
+            return rows, found[rows, places + first]
+
+        return run
 
     lists = stored(per_row(entries, place), "lists")
-    routed = stored(per_row(asked, ask), "routed")
-    return best(search_lists(lists, routed, k, top_products(k), "double"), k)
+    search = top_products(k)
+    near = stored(search_lists(lists, stored(per_row(asked, ask(0, ahead)), "routed"), k, search, "double"), "answers")
+    floors = best(near, k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    floor = F.when(F.col("n") == k, F.col("least")).alias("floor")
+    again = asked.drop("floor").join(floors, "query_id", "left").select("query_id", floor, "vector")
+    far = search_lists(lists, stored(per_row(again, ask(ahead, None)), "routed"), k, search, "double")
+    return best(near.unionByName(far), k)
