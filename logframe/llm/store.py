@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
 
@@ -17,3 +20,23 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
 def whole_row(frame: DataFrame) -> Column:
     """All columns as one, so that others can stand beside them under any name."""
     return F.struct(*[F.col(f"`{name}`") for name in frame.columns]).alias("row")
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Let Python get so many rows at a time, for jobs that run meanwhile and have large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
