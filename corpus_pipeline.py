@@ -1,7 +1,7 @@
 """From raw documents to packed token sequences, in stages that each write a table the next one reads.
 
-All stages but the last return the columns of ``documents``. Empty tables pass through; a null text is an empty one; a row
-without an id is never taken for a copy of another.
+All stages but the last return the columns of ``documents``. Empty tables pass through; a null text is an empty one; rows
+are told apart by keys of their own, so those that repeat an id, or have none, are documents like others.
 """
 
 from __future__ import annotations
@@ -29,9 +29,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates."""
-    copies = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(stored(copies, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near-duplicates: the one with the smallest id, where none comes before all others.
+
+    Rows are nodes by a stored key, not by their ids: of equal rows with one id, or without one, a single one stays, so
+    that the next stage does not take them for each other's copies and cut the text out of all of them.
+    """
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("key"), whole_row(docs)), "near-rows")
+    found = near_duplicates(rows.select("key", F.col("row.text").alias("text")), "key").withColumnRenamed("doc_id", "key")
+    ids = rows.select("key", F.col("row.doc_id").alias("id"))
+    first = found.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first"))
+    return rows.join(stored(first.select("first.key"), "near-kept"), "key", "left_semi").select("row.*")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,15 @@ def test_edges(spark, edges, nothing):
             if name != "packing":
                 assert out.columns == docs.columns
     assert len(corpus_pipeline.near_dedup(spark, frame(spark), SF_DIR).filter("doc_id IS NULL").collect()) == 2
+
+
+def test_one_text_of_repeated_rows_stays(spark):
+    """Equal rows with one id, or without one, lose all but one of them, and that one keeps its text in the next stage."""
+    texts = [" ".join(f"{name}{k}" for k in range(60)) for name in ("same", "none", "both", "own")]
+    rows = [(1, texts[0])] * 3 + [(None, texts[1])] * 2 + [(7, texts[2]), (7, texts[2]), (None, texts[2]), (9, texts[2]), (4, texts[3])]
+    once = corpus_pipeline.near_dedup(spark, frame(spark, rows), SF_DIR)
+    assert sorted(r.text for r in once.collect()) == sorted(texts)
+    cut = corpus_pipeline.suffix_dedup(spark, once, SF_DIR)
+    assert sorted(r.text for r in cut.collect()) == sorted(texts)
+    packed = corpus_pipeline.packing(spark, cut, SF_DIR).collect()
+    assert len({(r.doc_id, r.ids_crc32) for r in packed}) == 4
