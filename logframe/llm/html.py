@@ -43,24 +43,25 @@ CHROME_WORDS = frozenset(
 CHROME_INSIDE = CHROME_WORDS - {"header", "masthead"}
 
 
-def lines_of(page: str) -> Iterator[tuple[str, int, bool]]:
-    """The page's lines without markup: text, weight, and whether it stands in an article.
+def lines_of(page: str) -> Iterator[tuple[str, int, bool, bool]]:
+    """The page's lines without markup: text (none in chrome), weight, whether it stands in an article, or in a headline.
 
-    The weight is the number of characters; what is no article, or mostly links, has none. Where a container begins
-    or ends there is a blank line.
+    The weight is the number of characters; what is mostly links has none, unless it stands in an article. Where a
+    container begins or ends there is a blank line.
     """
     text: list[str] = []
     stack: list[tuple[str, bool]] = []
     at = hidden = linked = 0
-    in_link = False
+    in_link = in_headline = False
 
-    def line() -> tuple[str, int, bool]:
+    def line() -> tuple[str, int, bool, bool]:
         nonlocal linked
-        joined = _spaces.sub(" ", html.unescape("".join(text))).strip()
-        weight = 0 if hidden or linked > 0.6 * len(joined) else len(joined)
+        joined = "" if hidden else _spaces.sub(" ", html.unescape("".join(text))).strip()
+        inside = any(n in ("article", "main") for n, _ in stack)
+        weight = 0 if linked > 0.6 * len(joined) and not inside else len(joined)
         text.clear()
         linked = 0
-        return joined, weight, any(n in ("article", "main") for n, _ in stack)
+        return joined, weight, inside, in_headline
 
     for tag in _markup.finditer(page):
         text.append(page[at : tag.start()])
@@ -75,6 +76,7 @@ def lines_of(page: str) -> Iterator[tuple[str, int, bool]]:
         if name in INLINE or not name and tag[1] is None:
             continue
         yield line()
+        in_headline = name == "h1" and not closes
         if name not in CONTAINERS:
             continue
         if not closes:
@@ -93,7 +95,7 @@ def lines_of(page: str) -> Iterator[tuple[str, int, bool]]:
             while last != name:
                 last, chrome = stack.pop()
                 hidden -= chrome
-        yield "", 0, False
+        yield "", 0, False, False
     text.append(page[at:])
     yield line()
 
@@ -101,13 +103,15 @@ def lines_of(page: str) -> Iterator[tuple[str, int, bool]]:
 def main_text(page: str) -> str:
     """The article's blocks, one a line.
 
-    Over the lines, the sum of the weights in a window of ``WINDOW`` lines rises above ``SURGE`` where the article
-    begins (at any text, if the page marks its article) and falls to 0 where it ends. All lines with a weight
-    between such points are kept; where no sum is that high, those of the stretch with the most text.
+    A page that marks its article has all lines of it. Elsewhere, over the lines, the sum of the weights in a window of
+    ``WINDOW`` lines rises above ``SURGE`` where the article begins and falls to 0 where it ends; where no sum is that
+    high, the stretch with the most text is the article. All lines between the first and the last of such points are kept,
+    whatever their weight, and before the first those with a weight from the last headline on.
     """
     lines = list(lines_of(page))
-    marked = any(weight and inside for _, weight, inside in lines)
-    weights = [weight if inside or not marked else 0 for _, weight, inside in lines]
+    if any(text and inside for text, _, inside, _ in lines):
+        return "\n".join(text for text, _, inside, _ in lines if text and inside)
+    weights = [weight for _, weight, _, _ in lines]
     stretches: list[tuple[int, int, int]] = []
     begin = None
     for k, weight in enumerate(weights):
@@ -121,9 +125,14 @@ def main_text(page: str) -> str:
                 begin = None
     if begin is not None:
         stretches.append((begin, len(lines), most))
-    kept = [s for s in stretches if s[2] > (0 if marked else SURGE)]
+    kept = [s for s in stretches if s[2] > SURGE]
     kept = kept or sorted(stretches, key=lambda s: -sum(weights[s[0] : s[1]]))[:1]
-    return "\n".join(lines[k][0] for begin, end, _ in kept for k in range(begin, end) if weights[k])
+    if not kept:
+        return ""
+    begin, end = kept[0][0], kept[-1][1]
+    headline = max((k for k in range(begin) if lines[k][0] and lines[k][3]), default=begin)
+    before = [lines[k][0] for k in range(headline, begin) if weights[k] or k == headline]
+    return "\n".join(before + [lines[k][0] for k in range(begin, end) if lines[k][0]])
 
 
 def extract_main_text(pages: DataFrame, html_column: str = "html", text_column: str = "main_text") -> DataFrame:

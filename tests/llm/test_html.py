@@ -37,3 +37,15 @@ def test_odd_pages(spark):
     got = extract_main_text(rows)
     assert sorted((r.page_id, r.main_text) for r in got.collect()) == [(1, ""), (2, "a"), (2, "a")]
     assert extract_main_text(rows.limit(0)).count() == 0
+
+
+def test_blocks_of_links_and_short_blocks_stay():
+    long = "Sentence after sentence of the main text, long enough to rise above the rest of the page. "
+    links = "<p>Long text</p><p><a href=x>Read the full report</a></p><ul><li><a href=y>Source one</a><li><a href=z>Source two</a></ul>"
+    assert main_text(f"<a href=m>Menu</a><article>{links}</article>") == "Long text\nRead the full report\nSource one\nSource two"
+    apart = "<hr>" * 5
+    page = f"""<ul><li><a href=m>Menu of the page</a></ul><p>Before</p>{apart}<h1>Headline</h1>{apart}<p>{long}</p><p><a href=x>Read the full report</a></p>
+    {apart}<p>Short</p>{apart}<div class=related><p>{long}</p></div><p><a href=y>Source</a></p>{apart}<p>{long}</p>{apart}<p><a href=q>Imprint</a></p>"""
+    text = long.strip()
+    assert main_text(page) == f"Headline\n{text}\nRead the full report\nShort\nSource\n{text}"
+    assert main_text(f"<p>{long}<p><a href=x>Read the full report</a><p>{long}") == f"{text}\nRead the full report\n{text}"
