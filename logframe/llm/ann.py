@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .store import stored
 from .vectors import (
+    VECTOR_BLOCK,
     balanced_centres,
     best,
     common_length,
     distinct_vectors,
+    matrix,
     per_row,
     sample_of,
     search_lists,
@@ -104,7 +109,6 @@ def nearest_neighbours(
     sample: int = 50_000,
     replicas: int = 4,
     closure: float = 0.1,
-    probes: int = 192,
     ahead: int = 8,
     prune: float = 0.4,
     seed: int = 3,
@@ -119,10 +123,13 @@ def nearest_neighbours(
     A sample of at most ``sample`` vectors is halved into groups of one size, about one for ``list_size`` vectors but
     at most ``most_lists``; their means are the lists' centres. Every vector goes to its nearest centre's list, and near a
     border to up to ``replicas`` lists: those at most ``1 + closure`` times as far away, unless another of its lists'
-    centres is nearer to that centre than the vector is. A query looks at up to ``probes`` lists whose centres are at
-    most ``1 + prune`` times as far away as the nearest one: first at the nearest ``ahead``, however far, then at the others,
-    of which it gets only what reaches its k-th score so far. Centres are found over their graph. Equal vectors are one
-    entry with its ``k + 1`` smallest ids; long lists are searched in blocks by many tasks.
+    centres is nearer to that centre than the vector is. A query is first answered from the nearest ``ahead``
+    lists that are found over the centres' graph. It then goes to every list of which the distances of centre and members
+    do not show that none reaches its k-th score so far (and to those whose centres are at most ``1 + prune`` times as far
+    away as the nearest one, whatever they show), where each vector stands in its nearest list only. So no answer is
+    lost, at any number of lists; where distances hardly differ, all vectors are compared. For this, lists near each other
+    are joined to groups of about ``VECTOR_BLOCK`` vectors. Equal vectors are one entry with its ``k + 1`` smallest ids;
+    long lists are searched in blocks by many tasks.
     """
     column = F.transform(F.col(vector_column), lambda x: x.cast("double") + F.lit(0.0)).alias("vector")
     valid = lambda frame: frame.select(F.col(id_column).cast("long").alias("vec_id"), column).filter(usable(F.col("vector"), False))
@@ -136,6 +143,9 @@ def nearest_neighbours(
     if not len(points):
         return asked.selectExpr("query_id", "1 AS rank", "query_id AS vec_id", "floor AS score").limit(0)
     centres = balanced_centres(points, max(1, min(most_lists, about.n // list_size)), seed)
+    count = len(centres)
+    middles = balanced_centres(centres, min(count, max(1, about.n // VECTOR_BLOCK)), seed)
+    group_of = distances(centres, middles).argmin(axis=1)
 
     def place(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         graph = CentreGraph(centres)
@@ -148,24 +158,59 @@ def nearest_neighbours(
                 near &= ~(taken[:, i] & (graph.gaps[found[:, i], found[:, j]] < gaps[:, j]))
             taken[:, j] = near | (j == 0)
         rows, places = np.nonzero(taken)
+        # The list's number, and whether it is the vector's own list, in one.
+        return rows, 2 * found[rows, places] + (places > 0)
+
+    def reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = np.full(count, -np.inf)
+        for batch in batches:
+            of = batch.column("list").to_numpy()
+            gaps = lifted(matrix(batch.column("vector")), longest, False) - centres[of]
+            np.maximum.at(most, of, np.sqrt((gaps**2).sum(axis=1)))
+        used = np.flatnonzero(np.isfinite(most))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(most[used])], ["list", "reach"])
+
+    def ask(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, _ = CentreGraph(centres).nearest(lifted(rows, longest, True), ahead)
+        rows, places = np.nonzero(found >= 0)
         return rows, found[rows, places]
 
-    def ask(first: int, last: int | None):
-        def run(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            found, squares = CentreGraph(centres).nearest(lifted(rows, longest, True), probes)
-            near = (found >= 0) & (squares <= (1 + prune) ** 2 * squares[:, :1])
-            # In a tight group the nearest centre is no measure: the first lists are searched anyway.
-            near[:, :ahead] = found[:, :ahead] >= 0
-            rows, places = np.nonzero(near[:, first:last])
-            return rows, found[rows, places + first]
-
-        return run
-
-    lists = stored(per_row(entries, place), "lists")
-    search = top_products(k)
-    near = stored(search_lists(lists, stored(per_row(asked, ask(0, ahead)), "routed"), k, search, "double"), "answers")
+    placed = stored(per_row(entries, place), "lists")
+    lists = placed.withColumn("list", F.shiftright("list", 1))
+    own = placed.filter("list % 2 = 0").withColumn("list", F.shiftright("list", 1))
+    wide = own.mapInArrow(reaches, "list long, reach double").groupBy("list").agg(F.max("reach").alias("reach"))
+    reach = np.full(count, -np.inf)
+    for row in wide.collect():
+        reach[row.list] = row.reach
+    search = top_products(k + 1)
+    near = stored(search_lists(lists, stored(per_row(asked, ask), "routed"), k, search, "double"), "answers")
     floors = best(near, k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
     floor = F.when(F.col("n") == k, F.col("least")).alias("floor")
     again = asked.drop("floor").join(floors, "query_id", "left").select("query_id", floor, "vector")
-    far = search_lists(lists, stored(per_row(again, ask(ahead, None)), "routed"), k, search, "double")
+
+    def others(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # The last component is the floor.
+        rows, floors = rows[:, :-1], rows[:, -1]
+        gaps = distances(lifted(rows, longest, True), centres)
+        sizes = (rows**2).sum(axis=1)[:, None] + longest**2
+        # Lifted vectors are all as long as the longest, so the least distance tells the largest product.
+        most = (sizes - np.maximum(gaps - reach, 0) ** 2) / 2
+        possible = (most + 1e-6 * sizes >= floors[:, None]) | (gaps <= (1 + prune) * gaps.min(axis=1, keepdims=True))
+        possible &= np.isfinite(reach)
+        asked_ = np.zeros((len(rows), len(middles)), bool)
+        at, which = np.nonzero(possible)
+        asked_[at, group_of[which]] = True
+        return np.nonzero(asked_)
+
+    packed = F.concat("vector", F.array(F.coalesce("floor", F.lit(float("-inf")))))
+    routed = per_row(again.select("query_id", "floor", packed.alias("vector")), others)
+    routed = routed.withColumn("vector", F.slice("vector", 1, F.size("vector") - 1))
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = pa.array(group_of[batch.column("list").to_numpy()], pa.int64())
+            yield pa.RecordBatch.from_arrays([groups, batch.column("ids"), batch.column("vector")], ["list", "ids", "vector"])
+
+    joined = own.select("list", "ids", "vector").mapInArrow(grouped, "list long, ids array<long>, vector array<double>")
+    far = search_lists(joined, stored(routed, "routed"), k, search, "double")
     return best(near.unionByName(far), k)

@@ -53,6 +53,18 @@ def test_posting_lists(table, rows, monkeypatch, block):
     assert [r[:3] for r in sorted(map(tuple, everything.collect()))] == [w[:3] for w in wanted]
 
 
+def test_posting_lists_are_exact(spark):
+    """With far more lists than are looked at first."""
+    data = RNG.normal(size=(1500, 32))
+    data[:, 0] += 1
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(data)]
+    asked = rows[::50]
+    wanted = brute_force(rows, asked, 20, lambda a, b: float(np.dot(a, b)))
+    columns = "vec_id long, embedding array<double>"
+    got = nearest_neighbours(spark.createDataFrame(rows, columns), spark.createDataFrame(asked, columns), 20, list_size=5)
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got.collect()) == [w[:3] for w in wanted]
+
+
 @pytest.mark.parametrize("block", [4096, 30])
 def test_dual_tree(table, rows, monkeypatch, block):
     monkeypatch.setattr(shared, "VECTOR_BLOCK", block)
