@@ -84,16 +84,24 @@ def lifted(points: np.ndarray, longest: float, query: bool) -> np.ndarray:
 
 
 def top_products(k: int):
-    """The ``k`` largest inner products of each query with a block of vectors."""
+    """The ``k`` largest inner products of each query with a block of vectors, of equal ones the earlier vectors."""
 
-    def search(queries: np.ndarray, floors: np.ndarray, vectors: np.ndarray) -> list[np.ndarray]:
+    def search(queries: np.ndarray, floors: np.ndarray, vectors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         rough = queries @ vectors.T
-        most = min(k + 8, len(vectors))
-        places = np.argpartition(-rough, most - 1, axis=1)[:, :most]
-        # Summed in one order wherever a vector stands, so that what is equal comes out equal.
-        scores = (queries[:, None, :] * vectors[places]).sum(axis=2)
-        reached = scores >= floors[:, None]
-        return [(p[ok], s[ok]) for p, s, ok in zip(places, scores, reached)]
+        most = min(k, len(vectors))
+        # What rounding can move a product by, whichever way it is summed.
+        sizes = np.sqrt((queries**2).sum(axis=1) * (vectors**2).sum(axis=1).max())
+        margin = 4 * np.finfo(float).eps * vectors.shape[1] * sizes
+        least = np.maximum(np.partition(rough, len(vectors) - most, axis=1)[:, len(vectors) - most], floors) - 2 * margin
+        out = []
+        for query, row, lowest, floor in zip(queries, rough, least, floors):
+            places = np.flatnonzero(row >= lowest)
+            # Summed in one order wherever a vector stands, so that what is equal comes out equal.
+            scores = (query * vectors[places]).sum(axis=1)
+            places, scores = places[scores >= floor], scores[scores >= floor]
+            order = np.lexsort((places, -scores))[:most]
+            out.append((places[order], scores[order]))
+        return out
 
     return search
 

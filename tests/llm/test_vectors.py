@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logframe.llm import dualtree, vectors as shared
-from logframe.llm.ann import CentreGraph, nearest_neighbours
+from logframe.llm.ann import CentreGraph, nearest_neighbours, top_products
 from logframe.llm.dualtree import CoverTree, dual_search, largest_products
 from logframe.llm.vectors import balanced_centres
 
@@ -53,9 +53,10 @@ def test_posting_lists(table, rows, monkeypatch, block):
     assert [r[:3] for r in sorted(map(tuple, everything.collect()))] == [w[:3] for w in wanted]
 
 
-def test_posting_lists_are_exact(spark):
-    """With far more lists than are looked at first."""
-    data = RNG.normal(size=(1500, 32))
+@pytest.mark.parametrize("ones", [False, True])
+def test_posting_lists_are_exact(spark, ones):
+    """With far more lists than are looked at first, and with scores of which many tie."""
+    data = RNG.integers(0, 2, (1500, 6)) if ones else RNG.normal(size=(1500, 32))
     data[:, 0] += 1
     rows = [(k, [float(x) for x in v]) for k, v in enumerate(data)]
     asked = rows[::50]
@@ -65,6 +66,12 @@ def test_posting_lists_are_exact(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got.collect()) == [w[:3] for w in wanted]
 
 
+def test_ties_beyond_the_k_th_score():
+    vectors = np.concatenate([np.ones((40, 3)), [[2.0, 1.0, 1.0]]])
+    places, scores = top_products(5)(np.ones((1, 3)), np.array([-np.inf]), vectors)[0]
+    assert places.tolist() == [40, 0, 1, 2, 3] and scores.tolist() == [4.0, 3.0, 3.0, 3.0, 3.0]
+
+
 @pytest.mark.parametrize("block", [4096, 30])
 def test_dual_tree(table, rows, monkeypatch, block):
     monkeypatch.setattr(shared, "VECTOR_BLOCK", block)
