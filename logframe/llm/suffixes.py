@@ -199,33 +199,34 @@ def contexts_of(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
 
 
 def sorted_repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """``anchor, whole, low, high``: places of runs, counted from the run's first one, whose strings repeat."""
-    keys = ["anchor", "slot", "common"]
-    together = contexts.repartition(*keys).sortWithinPartitions(*keys)
+    """``anchor, whole, low, high``: places of runs, counted from the run's first one, whose strings repeat.
+
+    Equal contexts are one row before they are dealt to buckets, so that a bucket holds different ones only. All strings
+    of a context that several runs have repeat; those runs are found by the context's hash.
+    """
+    contexts = stored(contexts.withColumn("hash", F.xxhash64("context")), "contexts")
+    keys, same = ["anchor", "slot", "common"], ["anchor", "slot", "common", "places", "away", "hash"]
+    # Where a context has one run, the smallest values are that run's own.
+    own = [F.min("whole").alias("whole"), F.min("skip").alias("skip"), F.max("often").alias("often")]
+    different = contexts.groupBy(*same, "context").agg(F.count("*").alias("n"), *own)
+    different = stored(different, "contexts")
+    shared = different.filter("n > 1").select(*same).distinct()
+    places = contexts.filter("NOT often").join(shared, same)
+    places = places.select("anchor", "whole", F.col("skip").alias("low"), (F.col("skip") + F.col("places") - 1).alias("high"))
+    together = different.repartition(*keys).sortWithinPartitions(*keys)
 
     def solve(groups: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(groups)
+        bucket = np.repeat(np.arange(len(groups)), [g.num_rows for g in groups])
+        n, often, anchor, whole, skip, count, away = (
+            rows.column(c).to_numpy() for c in ("n", "often", "anchor", "whole", "skip", "places", "away")
+        )
+        masks = repeated_starts(bucket, rows.column("context").to_pylist(), count, away, length)
         out: list[tuple] = []
-        bucket, contexts_, places, away, owners = [], [], [], [], []
-        for number, group in enumerate(groups):
-            seen: dict[tuple, int] = {}
-            rows = group.select(["whole", "skip", "places", "away", "often", "context"]).to_pylist()
-            for row in rows:
-                key = (row["context"], row["places"], row["away"])
-                if key not in seen:
-                    seen[key] = len(contexts_)
-                    bucket.append(number)
-                    contexts_.append(row["context"])
-                    places.append(row["places"])
-                    away.append(row["away"])
-                    owners.append([])
-                owners[seen[key]].append((group.column("anchor")[0].as_py(), row["whole"], row["skip"], row["often"]))
-        masks = repeated_starts(np.array(bucket), contexts_, np.array(places), np.array(away), length)
-        for mask, own in zip(masks, owners):
-            if len(own) > 1:
-                mask = np.ones(len(mask), bool)
-            for low, high in stretches(mask):
-                # Runs that occur twice as they are need no answer.
-                out += [(a, w, s + int(low), s + int(high)) for a, w, s, often in own if not often]
+        # Runs that occur twice as they are need no answer, and those of shared contexts have theirs.
+        for k in np.flatnonzero((n == 1) & ~often.astype(bool)):
+            for low, high in stretches(masks[k]):
+                out.append((anchor[k], whole[k], skip[k] + low, skip[k] + high))
         if out:
             columns = [pa.array(c, pa.int64()) for c in zip(*out)]
             yield pa.RecordBatch.from_arrays(columns, ["anchor", "whole", "low", "high"])
@@ -243,7 +244,7 @@ def sorted_repeats(contexts: DataFrame, length: int) -> DataFrame:
         if waiting:
             yield from solve(waiting)
 
-    return together.mapInArrow(run, "anchor long, whole long, low long, high long")
+    return together.mapInArrow(run, "anchor long, whole long, low long, high long").unionByName(places)
 
 
 def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:

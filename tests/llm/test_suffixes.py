@@ -84,3 +84,23 @@ def test_cover_ranks_order_strings():
 def test_cover_is_one():
     differences = {(a - b) % suffixes.PERIOD for a in suffixes.COVER for b in suffixes.COVER}
     assert differences == set(range(suffixes.PERIOD))
+
+
+@pytest.mark.parametrize("many", [2000, 0])
+def test_equal_contexts_are_one_row(spark, monkeypatch, many):
+    """A passage in many texts that differ around it: no bucket gets a context twice."""
+    monkeypatch.setattr(suffixes, "MANY", many)
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage = text(400)
+    docs = frame(spark, [(k, text(60) + passage + text(60)) for k in range(150)])
+    whole = suffixes.sorted_groups
+
+    def once(batches, keys):
+        for group in whole(batches, keys):
+            contexts = list(zip(*(group.column(c).to_pylist() for c in ("context", "places", "away"))))
+            assert len(contexts) == len(set(contexts))
+            yield group
+
+    monkeypatch.setattr(suffixes, "sorted_groups", once)
+    check(docs, 200)
