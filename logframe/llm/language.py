@@ -17,6 +17,8 @@ from .text import pieces
 #: Presence of byte n-grams of these lengths, in so many hashed places.
 LENGTHS = (1, 2, 3, 4)
 PLACES = 1 << 14
+#: Longer texts are judged by windows of so many characters, as many as a text has that the model learns from.
+WINDOW = 4000
 UNDETERMINED = "und"
 
 _letter = re.compile(r"[^\W\d_]")
@@ -42,6 +44,15 @@ def presence(text: str) -> np.ndarray:
     return there
 
 
+def windows(text: str) -> Iterator[str]:
+    """The whole text in parts of about one length, at most ``WINDOW`` characters; those without letters tell nothing."""
+    n = -(-len(text) // WINDOW)
+    for k in range(n):
+        part = text[len(text) * k // n : len(text) * (k + 1) // n]
+        if _letter.search(part):
+            yield part
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -52,6 +63,25 @@ class LanguageModel:
         """One-versus-rest values of rows of presences."""
         return kernel(rows, self.landmarks) @ self.weights
 
+    def decide_texts(self, texts: list[str]) -> np.ndarray:
+        """Means of these values over the windows of each text, which has a letter."""
+        sums, n, waiting = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), []
+
+        def add() -> None:
+            owners = np.array([k for k, _ in waiting])
+            np.add.at(sums, owners, self.decide(np.stack([row for _, row in waiting])))
+            np.add.at(n, owners, 1)
+            waiting.clear()
+
+        for k, text in enumerate(texts):
+            for part in windows(text):
+                waiting.append((k, presence(part)))
+                if len(waiting) == 256:
+                    add()
+        if waiting:
+            add()
+        return sums / n[:, None]
+
 
 def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Shared n-grams over the geometric mean of both numbers of n-grams, as one matrix product."""
@@ -100,6 +130,7 @@ def fit_language(
 def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``doc_id, lang_pred, score`` of the whole text of each row of ``doc_id, text``.
 
+    A long text is judged by the mean over its windows, so its length fills no more places than what was learnt from.
     The score is the winner's value, from -1 and 1, moved to 0 and 1. A null text, or one without a letter, is
     ``und`` with score 0; so is every text if there was nothing to learn from.
     """
@@ -112,7 +143,7 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 names = np.full(len(texts), UNDETERMINED, object)
                 scores = np.zeros(len(texts))
                 if told.any():
-                    values = model.decide(np.stack([presence(t) for t, x in zip(texts, told) if x]))
+                    values = model.decide_texts([t for t, x in zip(texts, told) if x])
                     best = values.argmax(axis=1)
                     names[told] = np.array(model.languages, object)[best]
                     scores[told] = np.clip((values[np.arange(len(best)), best] + 1) / 2, 0, 1)

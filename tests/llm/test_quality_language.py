@@ -63,3 +63,15 @@ def test_language_edges(spark, edges, nothing):
     assert predict_language(nothing.select("doc_id", "text"), model).count() == 0
     untaught = fit_language(nothing.select("doc_id", "text", "lang"))
     assert {(r.lang_pred, r.score) for r in predict_language(edges.select("doc_id", "text"), untaught).collect()} == {("und", 0.0)}
+
+
+def test_long_texts_of_each_language(spark):
+    """All documents of a language as one text: far more different n-grams than any text that was learnt from."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = fit_language(docs.filter("doc_id % 2 = 0"), per_language=100)
+    other = docs.filter("doc_id % 2 = 1 AND lang IS NOT NULL AND text IS NOT NULL")
+    long = other.groupBy("lang").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    long = long.select(F.xxhash64("lang").alias("doc_id"), "lang", "text")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predict_language(long.select("doc_id", "text"), model).collect()}
+    for r in long.collect():
+        assert got[r.doc_id][0] == r.lang and got[r.doc_id][1] > 0.6, (r.lang, len(r.text), got[r.doc_id])
