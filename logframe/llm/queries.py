@@ -9,12 +9,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .ann import nearest_neighbours
+from .conversations import prefix_trie
+from .decontaminate import contamination
 from .dualtree import largest_products
 from .html import extract_main_text
 from .language import fit_language, predict_language
+from .manifest import audit
 from .minhash import near_duplicates
 from .mixing import mix
 from .ngrams import score_texts
+from .oracles import oracle_sql  # noqa: F401
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .sample import remainder
@@ -110,9 +114,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    ids = F.concat_ws(",", F.array_sort(F.transform("items", lambda item: item.cast("string"))))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(ids, 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

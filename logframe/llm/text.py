@@ -68,10 +68,10 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word; no word goes beyond its text."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = _is_word) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word; no word goes beyond its text. ``is_word`` tells the bytes that words consist of."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = _is_word[data]
+    inside[1:-1] = is_word[data]
     change = inside[1:] != inside[:-1]
     starts = change & inside[1:]
     ends = change & inside[:-1]
