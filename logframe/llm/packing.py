@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .store import stored
-from .text import pieces, ragged
+from .text import SEPARATORS, pieces, ragged, string_bytes, word_spans
 
 #: The words of a cache; there are two of them.
 CACHE_WORDS = 250_000
@@ -24,7 +24,17 @@ MARK = "~"
 #: A block of pieces that one task packs at a time: tokens, and pieces.
 BLOCK_TOKENS, BLOCK_PIECES = 1 << 20, 2048
 
-_spaces = re.compile(r"[ \t\n\r\x0b\x0c]+")
+#: A known pattern by which tokenizers split text: letters by themselves, digits, and what is neither.
+LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+_bytes = np.arange(256)
+_is_word = ~np.isin(_bytes, SEPARATORS)
+_is_letter = ((_bytes | 32) >= ord("a")) & ((_bytes | 32) <= ord("z")) & (_bytes < 128)
+_is_end = np.isin(_bytes, list(b".,;:!?"))
+
+
+def _any(data: np.ndarray, values: np.ndarray) -> bool:
+    return any((data == v).any() for v in values)
 
 
 class WordCodes(dict):
@@ -49,6 +59,13 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self._ids(MARK)
+        told = json.loads(self.tokenizer.to_str())
+        kinds = [n["type"] for n in (told["normalizer"] or {}).get("normalizers", [])]
+        first = ((told["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.letters_apart = kinds == ["NFC", "Replace", "Lowercase"] and (
+            first.get("pattern") == {"Regex": LETTERS_APART} and first["behavior"] == "Removed" and first["invert"]
+        )
+        self.added = np.array(sorted({t["content"].encode()[0] for t in told["added_tokens"] if t["content"]}), np.uint8)
         self.codes, self.ids, self.ends = WordCodes(), np.zeros(0, np.int32), np.zeros(1, np.int64)
         self._turn()
 
@@ -59,19 +76,49 @@ class WordEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def _words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all words, the places between words, and the number of words before each text.
+
+        Where the tokenizer reads letters apart from signs and small letters for capitals, so does this: signs that end a
+        sentence after a letter of ASCII are words of their own, and such letters are small ones, unless a mark may follow
+        that makes another letter of them. Words that may hold a token added to the tokenizer stay as they are.
+        """
+        starts, ends = word_spans(data, offsets)
+        inside = _is_word[data]
+        lengths, data = ends - starts, data[inside]
+        begins = np.zeros(len(data) + 1, bool)
+        begins[0] = begins[-1] = True
+        begins[np.cumsum(lengths)] = True
+        before = np.concatenate([[0], np.cumsum(inside)])[offsets]
+        if self.letters_apart and len(data):
+            free = np.ones(len(data), bool)
+            if _any(data, self.added):
+                odd = np.add.reduceat(np.isin(data, self.added), np.flatnonzero(begins[:-1])) > 0
+                free = ~np.repeat(odd, lengths)
+            begins[1:-1] |= _is_end[data[1:]] & _is_letter[data[:-1]] & free[1:]
+            capital = (data >= ord("A")) & (data <= ord("Z")) & free
+            capital[:-1] &= data[1:] < 0x80
+            data = data + np.uint8(32) * capital
+        places = np.flatnonzero(begins) if len(data) else np.zeros(1, np.int64)
+        return data, places, np.searchsorted(places, before)
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """The ids of each text. Words are cut out and told apart as bytes; only distinct ones become Python strings."""
         if len(self.codes) > CACHE_WORDS:
             self._turn()
-        known, look = len(self.codes), self.codes.__getitem__
-        rows = []
-        for text in texts:
-            text = text or ""
-            # str.split() also takes these four for white space.
-            words = _spaces.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-            rows.append(np.array(list(map(look, words)), np.int64))
+        texts = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())
+        data, places, bounds = self._words(*string_bytes(texts))
+        buffers = [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data)]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places) - 1, buffers).dictionary_encode()
+        known = len(self.codes)
+        codes = np.array(list(map(self.codes.__getitem__, words.dictionary.cast(pa.large_string()).to_pylist())), np.int64)
         if len(self.codes) > known:
             self._learn(list(itertools.islice(self.codes, known, None)))
-        return [self.ids[ragged(self.ends[row], self.ends[row + 1] - self.ends[row])] for row in rows]
+        codes = codes[words.indices.to_numpy(zero_copy_only=False)]
+        found = pa.LargeListArray.from_arrays(self.ends, self.ids).take(pa.array(codes))
+        ids, ends = found.flatten().to_numpy(), np.frombuffer(found.buffers()[1], np.int64)[: len(codes) + 1]
+        cuts = ends[bounds] - ends[0]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _learn(self, words: list[str]) -> None:
         old = np.array([self.old_codes.get(word, -1) for word in words], np.int64)
@@ -114,8 +161,8 @@ def token_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Ite
     encoder = word_encoder(path)
     for batch in batches:
         for part in pieces(batch, "text"):
-            prompts = encoder.encode(part.column("prompt").to_pylist())
-            texts = encoder.encode(part.column("text").to_pylist())
+            prompts = encoder.encode(part.column("prompt"))
+            texts = encoder.encode(part.column("text"))
             for doc_id, prompt, text in zip(part.column("doc_id").to_pylist(), prompts, texts):
                 yield doc_id, np.concatenate([prompt, text, [end_id]]).astype("<u4"), len(prompt)
 

@@ -75,9 +75,11 @@ def test_prompts_and_ids(spark):
 
 def test_word_by_word_is_the_same(monkeypatch):
     texts = [None, "", "a~b ~ ~~ x~", "The  THE\tthe\n", "<|endoftext|>x <|startoftext|>", "\x1cq\x1dz", "Å Å 　中文 é́", "don't we'll 12345"]
+    texts += ["The. THE, don't. I'S's. a.b.c A.B!? x,,y (Ab). Ab", "J\u030c W\u030a. I\u0307 H\u0331a Å. S\u0323A.é", "<|ENDOFTEXT|>. x<|endoftext|>.A A.<|x", "Z", "ZÀ", "Σ. ΑΣ, aΣ."]
     monkeypatch.setattr("logframe.llm.packing.CACHE_WORDS", 3)
     encoder = WordEncoder(tokenizer())
     for _ in range(3):
         for text in texts:
             assert [*encoder.encode([text])[0], 2] == token_ids([text])[0].tolist()
+    assert encoder.letters_apart
     assert [x.tolist() for x in encoder.encode(texts)] == [x[:-1].tolist() for x in token_ids(texts)]
