@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .store import stored, whole_row
+from ..operators.numbering import number_rows
+from .store import scratch, stored, whole_row
 from .text import pieces, string_bytes, word_spans
 
 #: A step of the selection splits a pattern's documents into so many parts by hash.
@@ -20,7 +21,7 @@ FEW = 5000
 
 
 def with_sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id, sources, size``: the number of words of each whole text of ``doc_id, sources, text``."""
+    """``key, doc_id, sources, size, name`` of whole texts; the name is a hash of all that tells rows apart but the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -28,10 +29,22 @@ def with_sizes(docs: DataFrame) -> DataFrame:
                 data, offsets = string_bytes(part.column("text"))
                 starts, _ = word_spans(data, offsets)
                 sizes = np.diff(np.searchsorted(starts, offsets))
-                columns = [part.column("doc_id"), part.column("sources"), pa.array(sizes, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sources", "size"])
+                columns = [part.column(c) for c in ("key", "doc_id", "sources", "name")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64())], ["key", "doc_id", "sources", "name", "size"])
 
-    return docs.mapInArrow(run, "doc_id long, sources array<string>, size long")
+    name = F.xxhash64("doc_id", F.col("doc_id").isNull(), "sources", "text").alias("name")
+    return docs.select("*", name).mapInArrow(run, "key long, doc_id long, sources array<string>, name long, size long")
+
+
+def with_order(sized: DataFrame, seed: int) -> DataFrame:
+    """Adds ``order``, a place in the seeded order for each row: equal rows are numbered, so each has its own place."""
+    repeated = stored(sized.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name"), "repeated")
+    alike = sized.select("key", "name").join(repeated, "name")
+    numbered = stored(number_rows(alike, "number", ["name"]), "numbered")
+    first = numbered.groupBy("name").agg(F.min("number").alias("first"))
+    ranks = numbered.join(first, "name").select("key", (F.col("number") - F.col("first")).alias("rank"))
+    rank = F.coalesce("rank", F.lit(0).cast("long"))
+    return sized.join(ranks, "key", "left").withColumn("order", F.xxhash64(F.lit(seed), "name", rank)).drop("rank", "name")
 
 
 def fair_targets(sizes: Sequence[int], weights: Sequence[float], repeats: int, total: float) -> list[float]:
@@ -137,6 +150,8 @@ def mix(
     weights: Sequence[float] = (5, 2, 1),
     repeats: int = 3,
     seed: int = 5,
+    most_patterns: int = 100_000,
+    key_column: str | None = None,
 ) -> DataFrame:
     """How often each document is taken, so that each source's words come near its target.
 
@@ -144,25 +159,49 @@ def mix(
     source too. Sources in the order of code points, null last, have the ``weights`` in turn; together they get as
     many words as there are, but none more than ``repeats`` times its own. Documents are added up by pattern, the set
     of their sources, and a min-cost flow routes each pattern's words to its sources' quotas. What comes to the driver
-    is one row for each pattern. Of each pattern all documents are taken as often as the whole part of its flow
-    says; for the rest, those first in a seeded order are taken once more, and then those whose size is nearest to what
-    is still missing.
+    is one row for each pattern; more than ``most_patterns`` are an error. Of each pattern all documents are taken as often
+    as the whole part of its flow says; for the rest, those first in a seeded order are taken once more, and then those
+    whose size is nearest to what is still missing.
 
     Gives ``doc_id, size, sources, source_size, target, copies, taken``; size, size of the sources and target are in
     words, target adds up those of a document's sources, and ``taken = copies * size``. A null or empty text has size
-    0. The same rows give the same result, however they are split. Rows that repeat an id are separate documents with
-    the same place in the order. Other columns are ignored; an empty table gives no rows.
+    0. The same rows give the same result, however they are split. Rows that repeat an id, have none, or are equal in all
+    columns are separate documents, each with a place of its own in the order. Other columns are ignored; an empty table
+    gives no rows. With ``key_column``, a long that is different in each row, the result has it as ``key``.
     """
     rows = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), source_set(docs, sources).alias("sources"), F.col(text_column).alias("text")
+        (F.col(key_column) if key_column else F.monotonically_increasing_id()).alias("key"),
+        F.col(id_column).cast("long").alias("doc_id"),
+        source_set(docs, sources).alias("sources"),
+        F.col(text_column).alias("text"),
     )
-    sized = stored(with_sizes(rows), "sizes")
-
-    found = sized.groupBy("sources").agg(F.sum("size").alias("size")).collect()
+    with scratch(docs.sparkSession) as keep:
+        sized = stored(with_sizes(rows), "sizes")
+        plans = planned(sized, weights, repeats, most_patterns)
+        placed = stored(with_order(sized, seed).join(plans, "sources"), "placed")
+        more = chosen(placed.filter("rest > 0").select("pattern", "key", "size", "order", "rest"))
+        picked = placed.join(more, "key", "left")
+        copies = F.col("whole") + F.coalesce("more", F.lit(0))
+        own = ["key"] if key_column else []
+        taken = (copies * F.col("size")).alias("taken")
+        return keep(
+            picked.select(*own, "doc_id", "size", "sources", "source_size", "target", copies.alias("copies"), taken), "mixture"
+        )
+
+
+def planned(sized: DataFrame, weights: Sequence[float], repeats: int, most_patterns: int) -> DataFrame:
+    """``pattern, sources, source_size, target, whole, rest``: how often a pattern is taken, and the words beyond that."""
+    sums = stored(sized.groupBy("sources").agg(F.sum("size").alias("size")), "patterns")
+    if sums.count() > most_patterns:
+        raise ValueError(f"documents have more than {most_patterns} different sets of sources")
+    found = sums.collect()
     names = sorted({s for r in found for s in r.sources}, key=lambda s: (s is None, s or ""))
-    patterns = [[names.index(s) for s in r.sources] for r in found]
-    sizes = [r["size"] for r in found]
-    own = [sum(n for p, n in zip(patterns, sizes) if s in p) for s in range(len(names))]
+    number = {s: k for k, s in enumerate(names)}
+    patterns = [[number[s] for s in r.sources] for r in found]
+    sizes, own = [r["size"] for r in found], [0] * len(names)
+    for p, n in zip(patterns, sizes):
+        for s in p:
+            own[s] += n
     targets = fair_targets(own, [weights[k % len(weights)] for k in range(len(names))], repeats, sum(sizes))
     plan = route(patterns, sizes, [round(t) for t in targets], repeats)
     table = [
@@ -170,26 +209,16 @@ def mix(
         for k, (r, p, n) in enumerate(zip(found, patterns, sizes))
     ]
     schema = "pattern int, sources array<string>, source_size long, target double, whole long, rest long"
-    plans = sized.sparkSession.createDataFrame(table, schema)
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    placed = stored(sized.join(plans, "sources").withColumn("order", order), "placed")
-    more = chosen(placed.filter("rest > 0").select("pattern", "doc_id", "size", "order", "rest"))
-    picked = placed.join(more, ["pattern", "doc_id", "order", "size"], "left")
-    copies = F.col("whole") + F.coalesce("more", F.lit(0))
-    return picked.select(
-        "doc_id", "size", "sources", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    return sized.sparkSession.createDataFrame(table, schema)
 
 
 def chosen(docs: DataFrame, rounds: int = 4) -> DataFrame:
-    """The documents to take once more: ``pattern, doc_id, order, size, more``.
+    """The documents to take once more: ``key, more``.
 
-    ``docs`` has ``pattern, doc_id, size, order, rest``. Equal documents are told apart by nothing, so they are
-    counted and taken together or not at all. The running sum over a pattern's order is found by narrowing down: sums
+    ``docs`` has ``pattern, key, size, order, rest``, and hardly any two rows have the same order. The running sum over a pattern's order is found by narrowing down: sums
     of ``PARTS`` parts show the part in which the rest is used up, which is split again until few documents are left.
     """
-    one = docs.groupBy("pattern", "doc_id", "order", "size").agg(F.count("*").alias("n"), F.first("rest").alias("rest"))
-    one = stored(one.withColumn("sum", F.col("n") * F.col("size")), "mix-documents")
+    one = docs
     # The interval of the order still open, and the words still to take, for each pattern.
     low, high = -(2.0**63), 2.0**63
     state = one.groupBy("pattern").agg(F.first("rest").alias("left")).select("pattern", F.lit(low).alias("low"), F.lit(high).alias("high"), "left")
@@ -197,7 +226,7 @@ def chosen(docs: DataFrame, rounds: int = 4) -> DataFrame:
         state = stored(state, "mix-state")
         inside = one.join(F.broadcast(state), "pattern").filter("CAST(`order` AS DOUBLE) >= low AND CAST(`order` AS DOUBLE) < high")
         part = F.least(F.floor((F.col("order").cast("double") - F.col("low")) / (F.col("high") - F.col("low")) * PARTS), F.lit(PARTS - 1))
-        sums = inside.groupBy("pattern", "low", "high", "left", part.alias("part")).agg(F.sum("sum").alias("sum"), F.count("*").alias("n"))
+        sums = inside.groupBy("pattern", "low", "high", "left", part.alias("part")).agg(F.sum("size").alias("sum"), F.count("*").alias("n"))
         running = Window.partitionBy("pattern").orderBy("part")
         sums = stored(sums.withColumn("before", F.sum("sum").over(running) - F.col("sum")), "mix-sums")
         cut = sums.filter("before <= left AND before + sum > left")
@@ -211,37 +240,38 @@ def chosen(docs: DataFrame, rounds: int = 4) -> DataFrame:
             break
     ends = F.broadcast(state)
     joined = one.join(ends, "pattern", "left").withColumn("at", F.col("order").cast("double"))
-    window = Window.partitionBy("pattern").orderBy("order", "doc_id", "size")
-    last = joined.filter("at >= low AND at < high").withColumn("until", F.sum("sum").over(window)).filter("until <= left")
+    window = Window.partitionBy("pattern").orderBy("order", "size", "key")
+    last = joined.filter("at >= low AND at < high").withColumn("until", F.sum("size").over(window)).filter("until <= left")
     before = joined.filter("at < low OR low IS NULL")
-    keys = ["pattern", "doc_id", "order", "size"]
-    taken = stored(before.select(*keys, "sum").unionByName(last.select(*keys, "sum")), "mix-taken")
+    columns = ["pattern", "key", "size"]
+    taken = stored(before.select(*columns).unionByName(last.select(*columns)), "mix-taken")
     for _ in range(rounds):
-        used = taken.groupBy("pattern").agg(F.sum("sum").alias("used"))
+        used = taken.groupBy("pattern").agg(F.sum("size").alias("used"))
         gaps = one.groupBy("pattern").agg(F.first("rest").alias("rest")).join(used, "pattern", "left")
         gaps = stored(gaps.select("pattern", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("gap")).filter("gap > 0"), "mix-gaps")
-        spare = one.join(F.broadcast(gaps), "pattern").filter("sum > 0 AND sum < 2 * gap").join(taken.select(*keys), keys, "left_anti")
-        off = F.abs(F.col("sum") - F.col("gap")).alias("off")
-        best = spare.groupBy("pattern").agg(F.min(F.struct(off, "order", "doc_id", "size", "sum")).alias("best"))
-        best = stored(best.select("pattern", "best.doc_id", "best.order", "best.size", "best.sum"), "mix-best")
+        spare = one.join(F.broadcast(gaps), "pattern").filter("size > 0 AND size < 2 * gap").join(taken.select("key"), "key", "left_anti")
+        off = F.abs(F.col("size") - F.col("gap")).alias("off")
+        best = spare.groupBy("pattern").agg(F.min(F.struct(off, "order", "size", "key")).alias("best"))
+        best = stored(best.select("pattern", "best.key", "best.size"), "mix-best")
         if best.isEmpty():
             break
         taken = stored(taken.unionByName(best), "mix-taken")
-    return taken.select(*keys, F.lit(1).alias("more"))
-
-
-def mixed_rows(
-    docs: DataFrame, mixture: DataFrame, sources: Column | str = "source", id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
-    """The documents of a mixture made of them, each as often as it is taken.
-
-    Rows with the same id, size and sources are taken equally often, so each of them finds its copies.
-    """
-    often = mixture.filter("copies > 0").select("doc_id", "size", "sources", F.col("copies").cast("int").alias("copies"))
-    size = F.regexp_count(F.coalesce(F.col(text_column), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    own = docs.select(
-        whole_row(docs), F.col(id_column).cast("long").alias("id"), size.alias("words"), source_set(docs, sources).alias("of")
+    return taken.select("key", F.lit(1).alias("more"))
+
+
+def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:
+    """The documents of a mixture of them, each as often as it is taken; ``options`` are those of ``mix``."""
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("key"), whole_row(docs)), "mixed-rows")
+    columns = ["id_column", "text_column"]
+    names = {c: options.pop(c, d) for c, d in zip(columns, ("doc_id", "text"))}
+    sources = options.pop("sources", "source")
+    narrow = rows.select(
+        "key",
+        F.col(f"row.`{names['id_column']}`").alias("doc_id"),
+        F.col(f"row.`{names['text_column']}`").alias("text"),
+        source_set(rows, F.col(f"row.`{sources}`")).alias("sources"),
     )
-    same = [F.col("id").eqNullSafe(F.col("doc_id")), F.col("words") == F.col("size"), F.col("of") == F.col("sources")]
-    joined = own.join(often.distinct(), same)
+    mixture = mix(narrow, "sources", key_column="key", **options).filter("copies > 0").select("key", F.col("copies").cast("int"))
+    # Rows and what is taken of them grow alike, so neither side is broadcast.
+    joined = rows.join(mixture.hint("merge"), "key")
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -2,21 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
 
 
+#: Paths of the tables stored since the innermost scratch() began.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def stored(frame: DataFrame, label: str) -> DataFrame:
     """Write a frame below ``spark.checkpoint.dir`` and read it again."""
     path = scratch_path(frame.sparkSession, label)
+    written = _written.get()
+    if written is not None:
+        written.append(path)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete, at the end, all tables stored meanwhile but those stored by what this gives, a ``stored`` that lasts.
+
+    Tables that last are left to the scratch() around this one, if there is one.
+    """
+    outer, own = _written.get(), []
+    token = _written.set(own)
+
+    def keep(frame: DataFrame, label: str) -> DataFrame:
+        inner = _written.set(outer)
+        try:
+            return stored(frame, label)
+        finally:
+            _written.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _written.reset(token)
+        for path in own:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def whole_row(frame: DataFrame) -> Column:
     """All columns as one, so that others can stand beside them under any name."""
     return F.struct(*[F.col(f"`{name}`") for name in frame.columns]).alias("row")
@@ -24,10 +61,8 @@ def whole_row(frame: DataFrame) -> Column:
 
 def discard(table: DataFrame) -> None:
     """Delete a stored table that nothing reads any more."""
-    spark = table.sparkSession
     for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(table.sparkSession, folder)
 
 
 @contextmanager

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .anchors import anchor_runs
 from .groups import sorted_groups
-from .store import stored
+from .store import discard, scratch, stored
 from .text import U64, string_bytes
 
 #: A difference cover: every difference modulo ``PERIOD`` is one of two of these numbers (fixed values).
@@ -256,6 +256,7 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
     anchors = stored(anchors.filter("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchors")
     twice = stored(runs.join(anchors, "anchor"), "repeats")
+    discard(runs)
 
     mixed = twice.filter("mixed")
     first = F.min(F.struct("doc_id", "digest", "n_bytes", "first", "places", "away")).alias("at")
@@ -319,9 +320,10 @@ def cut_repeats(
     copies = rows.select("digest", "n_bytes").filter(F.col("n_bytes") >= length)
     copies = copies.groupBy("digest", "n_bytes").agg(F.count("*").alias("n")).filter("n > 1")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_bytes").alias("end")))
-    copies = stored(copies.select("digest", "n_bytes", whole.alias("spans")), "copies")
-    parts = repeated_spans(texts, length).join(copies.drop("spans"), ["digest", "n_bytes"], "left_anti")
-    spans = stored(parts.unionByName(copies), "spans")
+    with scratch(docs.sparkSession) as keep:
+        copies = stored(copies.select("digest", "n_bytes", whole.alias("spans")), "copies")
+        parts = repeated_spans(texts, length).join(copies.drop("spans"), ["digest", "n_bytes"], "left_anti")
+        spans = keep(parts.unionByName(copies), "spans")
     joined = rows.join(spans, ["digest", "n_bytes"], "left").select("row", "n_bytes", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -66,7 +66,31 @@ def test_edges(edges, nothing):
     got = mix(edges).collect()
     assert len(got) == edges.count() and {tuple(r.sources) for r in got} == {("a",), (None,)}
     assert all(r.taken <= 3 * r.size for r in got)
-    rows = mixed_rows(edges, mix(edges))
+    rows = mixed_rows(edges)
     assert rows.columns == edges.columns
     assert rows.count() == sum(r.copies for r in got)
-    assert mix(nothing).count() == 0 and mixed_rows(nothing, mix(nothing)).count() == 0
+    assert mix(nothing).count() == 0 and mixed_rows(nothing).count() == 0
+
+
+@pytest.mark.parametrize("ids", ["none", "one", "third"])
+def test_rows_that_share_id_and_size(spark, ids):
+    """Rows without ids, with one id, or a third without: m of n equal rows are taken, and reruns agree."""
+    words = lambda n: " ".join(["w"] * n)
+    of = {"none": lambda k: None, "one": lambda k: 7, "third": lambda k: k if k % 3 else None}[ids]
+    rows = [(of(k), words(12), f"s{k % 3}") for k in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(docs).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r.sources[0]] += r.taken
+        target[r.sources[0]] = r.target
+        assert r.copies <= 3
+    assert len(got) == 1800 and all(abs(taken[s] - t) <= 12 for s, t in target.items())
+    assert sorted(map(str, got)) == sorted(map(str, mix(docs.repartition(3)).collect()))
+    assert mixed_rows(docs).count() == sum(r.copies for r in got)
+
+
+def test_too_many_patterns(spark):
+    docs = frame(spark).withColumn("source", F.col("doc_id").cast("string"))
+    with pytest.raises(ValueError, match="sets of sources"):
+        mix(docs, most_patterns=3)
