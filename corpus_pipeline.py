@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logframe.llm.minhash import near_duplicates
-from logframe.llm.mixing import mix, mixed_rows
+from logframe.llm.mixing import mixed_rows
 from logframe.llm.packing import pack_documents
 from logframe.llm.quality import fit_quality, score_quality
 from logframe.llm.queries import table, tokenizer
-from logframe.llm.store import stored, whole_row
+from logframe.llm.store import discard, scratch, stored, whole_row
 from logframe.llm.suffixes import cut_repeats
 
 #: Documents that are less likely to be good than this go.
@@ -35,10 +35,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that the next stage does not take them for each other's copies and cut the text out of all of them.
     """
     rows = stored(docs.select(F.monotonically_increasing_id().alias("key"), whole_row(docs)), "near-rows")
-    found = near_duplicates(rows.select("key", F.col("row.text").alias("text")), "key").withColumnRenamed("doc_id", "key")
-    ids = rows.select("key", F.col("row.doc_id").alias("id"))
-    first = found.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first"))
-    return rows.join(stored(first.select("first.key"), "near-kept"), "key", "left_semi").select("row.*")
+    with scratch(spark) as keep:
+        found = near_duplicates(rows.select("key", F.col("row.text").alias("text")), "key").withColumnRenamed("doc_id", "key")
+        ids = rows.select("key", F.col("row.doc_id").alias("id"))
+        first = found.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first"))
+        kept = keep(first.select("first.key"), "near-kept")
+    # What is kept grows with the rows, so it is not broadcast.
+    return rows.join(kept.hint("merge"), "key", "left_semi").select("row.*")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +57,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as its source's share says: not at all, or up to three times."""
-    return mixed_rows(docs, stored(mix(docs), "mixture"))
+    return mixed_rows(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,5 +81,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # What a stage keeps goes when its result is stored.
+        with scratch(spark) as keep:
+            done = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if name != STAGES[0][0]:
+            discard(docs)
+        docs = done
     return docs
