@@ -14,11 +14,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import stored
+from .store import small_batches, stored
 from .text import SEPARATORS, pieces, ragged, string_bytes, word_spans
 
 #: The words of a cache; there are two of them.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
+#: Rows of texts that a task gets at a time.
+BATCH_ROWS = 2000
 #: A word that is one token.
 MARK = "~"
 #: A block of pieces that one task packs at a time: tokens, and pieces.
@@ -160,7 +162,7 @@ def token_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Ite
     """``doc_id, ids, number of prompt ids`` of each row of ``doc_id, prompt, text``."""
     encoder = word_encoder(path)
     for batch in batches:
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", most_bytes=2 << 20):
             prompts = encoder.encode(part.column("prompt"))
             texts = encoder.encode(part.column("text"))
             for doc_id, prompt, text in zip(part.column("doc_id").to_pylist(), prompts, texts):
@@ -275,7 +277,9 @@ def pack_documents(
         F.col(id_column).cast("long").alias("doc_id"), prompt.cast("string").alias("prompt"), F.col(text_column).alias("text")
     )
     cut = min(length, loss or length)
-    return pack(stored(token_pieces(docs, path, cut, end_id), "pieces"), length, segments, loss)
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        parts = stored(token_pieces(docs, path, cut, end_id), "pieces")
+    return pack(parts, length, segments, loss)
 
 
 def piece_ids(
