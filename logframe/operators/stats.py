@@ -29,8 +29,12 @@ def summary_counts(
     """Record counts per value of each dimension: ``dimension, value, n``.
 
     Records are first counted per combination of values, map-side; only the combinations are then spread over
-    the dimensions, where grouping sets would have multiplied the records.
+    the dimensions, where grouping sets would have multiplied the records. A stream may be grouped only once: its
+    records are spread first, and counted map-side per value, so that one state holds the counts of all dimensions.
     """
+    if records.isStreaming:
+        cells = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dimensions]))
+        return records.select(*by, cells.alias("cell")).groupBy(*by, "cell.dimension", "cell.value").agg(F.count("*").alias("n"))
     combined = records.groupBy(*by, *dimensions).agg(F.count("*").alias("n"))
     cells = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dimensions]))
     spread = combined.select(*by, cells.alias("cell"), "n").select(*by, "cell.dimension", "cell.value", "n")

@@ -27,6 +27,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from .progress import ProgressLog, limited, line_cut
+
 # Executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -118,12 +120,14 @@ class LogStore:
     def open_known(self, path: str, log: str, identity: str, end: int, check: str):
         """Open the file with this identity and these bytes before ``end``: under the path it was seen at, or else
         among the log's files."""
-        folder = log.rsplit("/", 1)[0]
-        selector = pafs.FileSelector(folder)
-        candidates = [path] + [i.path for i in self.files.get_file_info(selector) if i.path.startswith(log)]
-        for candidate in dict.fromkeys(candidates):
-            if candidate.endswith(".gz"):
-                continue
+
+        def candidates() -> Iterator[str]:
+            yield path
+            # Only a file that is no longer there is looked for.
+            infos = self.files.get_file_info(pafs.FileSelector(log.rsplit("/", 1)[0]))
+            yield from (i.path for i in infos if i.path.startswith(log) and i.path != path and not i.path.endswith(".gz"))
+
+        for candidate in candidates():
             try:
                 file = self.open(candidate)
             except FileNotFoundError:
@@ -263,12 +267,64 @@ class TailReader(DataSourceStreamReader):
         self.store = LogStore(options["path"], options.get("identity"))
         self.split_bytes = int(options.get("splitbytes", 128 << 20))
         self.rotated_names = options.get("rotatednames", "")
+        self.max_bytes, self.max_files = (int(options[k]) if options.get(k) else None for k in ("maxbytes", "maxfiles"))
+        self.progress = ProgressLog(options["progress"]) if options.get("progress") else None
         self.looked_at: dict[tuple, dict] = {}
+        self.planned: tuple[int, dict] | None = None
+
+    def __getstate__(self) -> dict:
+        # Tasks need neither what the driver has seen nor where it keeps it.
+        return {**self.__dict__, "looked_at": {}, "planned": None, "progress": None}
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
+        if not self.progress:
+            return self._latest_state()
+        if self.planned is None:
+            last = max(self.progress.versions(), default=None)
+            self.planned = (0, {}) if last is None else (last, self.progress.read(self.progress.offset(last))[0])
+        version, start = self.planned
+        state, ranges = self._next_state(start)
+        if state == start:
+            return self.progress.offset(version) if version else {}
+        self.planned = (version + 1, state)
+        return self.progress.write(version + 1, state, ranges)
+
+    def _next_state(self, start: dict) -> tuple[dict, list]:
+        now = self._latest_state()
+        ranges = plan_ranges(start, now, self.store.holds, self.rotated_names)
+
+        def check(file: dict, end: int) -> str:
+            with self.store.open(file["path"]) as opened:
+                return bytes_before(opened, end)
+
+        def cut(file: dict, begin: int, room: int) -> tuple[int, str]:
+            with self.store.open(file["path"]) as opened:
+                end = line_cut(opened, begin, room, file["end"])
+                return end, bytes_before(opened, end)
+
+        return limited(ranges, now, self.max_bytes, self.max_files, cut, check)
+
+    def _ranges(self, start: dict, end: dict) -> list[tuple[str, dict, int]]:
+        if "version" not in end:
+            if "version" in start:
+                raise ValueError("the checkpoint was made with a progress folder: give it again")
+            return plan_ranges(start, end, self.store.holds, self.rotated_names)
+        if start and "version" not in start:
+            # A checkpoint from before there was a progress folder: what was planned from nothing is planned from there.
+            state, ranges = self._next_state(start)
+            self.progress.write(end["version"], state, ranges)
+            self.planned = (end["version"], state)
+            return ranges
+        return self.progress.between(start, end)
+
+    def commit(self, end: dict) -> None:
+        if self.progress and "version" in end:
+            self.progress.forget(end["version"])
+
+    def _latest_state(self) -> dict:
         logs = self.store.logs()
         # Files that stayed as they were since the last call are not opened again.
         keys = {(i.path, i.size, i.mtime_ns, i.path in logs) for infos in logs.values() for i in infos}
@@ -300,7 +356,7 @@ class TailReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
         parts, segments = [], {}
-        for log, file, begin in plan_ranges(start, end, self.store.holds, self.rotated_names):
+        for log, file, begin in self._ranges(start, end):
             segment = segments[log] = segments.get(log, -1) + 1
             stop = file["end"]
             for low in range(begin, stop, self.split_bytes):
@@ -346,14 +402,22 @@ def tail_logs(
     split_bytes: int | None = None,
     identity: str | None = None,
     rotated_names: str | None = None,
+    max_bytes: int | None = None,
+    max_files: int | None = None,
+    progress: str | None = None,
 ) -> DataFrame:
     """A stream of the lines added to the logs that match ``path``: a current file's path or a pattern of such.
 
     At first a log's current file is read in full. From then on each batch brings what was added, and after a
     rotation what the renamed file still had, files rotated in between, and the new file; also if a batch falls
     between renaming the old file and creating the new one. ``segment`` and ``byte_offset`` order the lines that a batch has
-    of a log. ``split_bytes`` is how much of a file one task reads; the first batch of a large backlog has a task for
-    each, since sources of this kind are given no limit.
+    of a log. ``split_bytes`` is how much of a file one task reads.
+
+    With ``progress``, a folder that this stream alone uses, offsets name versions of its state there and stay small however
+    many files there are; a checkpoint from before can be continued with one, but not the other way. It is needed for
+    limits: a batch then reads about ``max_bytes``, to the end of a line, and whole files up to ``max_files``, what has
+    waited longest first. Sources of this kind are asked once in a run with ``availableNow``, which so ends after one
+    batch; other triggers go on. A batch that was planned but not begun before a crash adds to the next one.
 
     Files are identified by inode, or by their first line (``identity="first_line"``) where the file system has none, and
     by the last bytes that were read of them. Files rotated in between are all those with the log's name in front that are
@@ -363,7 +427,10 @@ def tail_logs(
     """
     register_tail_source(spark)
     stream = spark.readStream.format(FORMAT).option("path", path)
+    if (max_bytes or max_files) and not progress:
+        raise ValueError("limits need a folder for the progress")
     options = {"splitBytes": split_bytes, "identity": identity, "rotatedNames": rotated_names}
+    options |= {"maxBytes": max_bytes, "maxFiles": max_files, "progress": progress}
     for name, value in options.items():
         if value:
             stream = stream.option(name, str(value))
