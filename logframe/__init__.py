@@ -45,6 +45,7 @@ from .sources.files import broken_files, catalog_files, catalog_paths, mark_exis
 from .sources.lines import read_lines
 from .sources.spread import spread
 from .streaming.counts import read_counts, write_counts
+from .streaming.dictionary import normalize_stream, stream_dictionary, stream_messages
 from .streaming.tail import SCHEMA as TAIL_SCHEMA, register_tail_source, tail_logs
 
 __all__ = [name for name in dir() if not name.startswith("_")]

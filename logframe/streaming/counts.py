@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
+from .batches import BatchTable
+
 #: Batches whose changes are joined to one table of all counts.
 COMPACT_EVERY = 20
 
@@ -21,45 +21,20 @@ def write_counts(counts: DataFrame, path: str, checkpoint: str, compact_every: i
     """
 
     def write(changed: DataFrame, batch: int) -> None:
-        spark = changed.sparkSession
-        changed.write.mode("overwrite").parquet(f"{path}/changes/batch={batch}")
+        table = BatchTable(changed.sparkSession, path, changed.schema)
+        table.write(batch, changed)
         if batch % compact_every == compact_every - 1:
-            latest = read_counts(spark, path, changed.schema, until=batch)
-            latest.write.mode("overwrite").parquet(f"{path}/all/batch={batch}")
+            table.write_all(batch, read_counts(changed.sparkSession, path, changed.schema, until=batch))
 
     return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
 
 
-def _finished(spark: SparkSession, folder: str) -> list[int]:
-    """The batches below a folder that were written to their end."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    names = [s.getPath().getName() for s in files.listStatus(path)]
-    marks = {n: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS") for n in names if n.startswith("batch=")}
-    return sorted(int(n.removeprefix("batch=")) for n, mark in marks.items() if files.exists(mark))
-
-
 def read_counts(spark: SparkSession, path: str, schema: str | StructType, until: int | None = None) -> DataFrame:
     """The counts after the last batch, or after batch ``until``: of each group the ones it got last.
 
-    Reads the last table of all counts and the changes since. ``schema`` is that of the counts, the last column being
-    ``n``; nothing written gives no rows.
+    ``schema`` is that of the counts, with the column ``n``; nothing written gives no rows.
     """
-    names: Sequence[str] = spark.createDataFrame([], schema).columns
-    upto = lambda n: until is None or n <= until
-    whole = [n for n in _finished(spark, f"{path}/all") if (n < until if until is not None else True)]
-    since = whole[-1] if whole else -1
-    folders = [f"{path}/all/batch={since}"] if whole else []
-    changes = [n for n in _finished(spark, f"{path}/changes") if n > since and upto(n)]
-    frames = [spark.read.schema(schema).parquet(f).withColumn("batch", F.lit(since)) for f in folders]
-    frames += [spark.read.schema(schema).parquet(f"{path}/changes/batch={n}").withColumn("batch", F.lit(n)) for n in changes]
-    if not frames:
-        return spark.createDataFrame([], schema)
-    union = frames[0]
-    for frame in frames[1:]:
-        union = union.unionByName(frame)
-    group = [c for c in names if c != "n"]
-    last = union.groupBy(*group).agg(F.max_by("n", "batch").alias("n"))
+    rows = BatchTable(spark, path, schema).read(until)
+    names = [c for c in rows.columns if c != "batch"]
+    last = rows.groupBy(*[c for c in names if c != "n"]).agg(F.max_by("n", "batch").alias("n"))
     return last.select(*names)

@@ -57,6 +57,14 @@ class ProgressLog:
         self._write(f"{version:012d}.state", {"state": state, "ranges": ranges})
         return self.offset(version)
 
+    def begin(self, version: int) -> None:
+        """Note that a batch up to this version is being read."""
+        if version > self.begun():
+            self._write("begun.json", version)
+
+    def begun(self) -> int:
+        return self._read("begun.json") or 0
+
     def offset(self, version: int) -> dict:
         return {"version": version, "stream": self.stream}
 

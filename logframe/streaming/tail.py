@@ -285,6 +285,9 @@ class TailReader(DataSourceStreamReader):
         if self.planned is None:
             last = max(self.progress.versions(), default=None)
             self.planned = (0, {}) if last is None else (last, self.progress.read(self.progress.offset(last))[0])
+            if last is not None and last > self.progress.begun():
+                # Planned by a run that ended before it was read.
+                return self.progress.offset(last)
         version, start = self.planned
         state, ranges = self._next_state(start)
         if state == start:
@@ -317,8 +320,10 @@ class TailReader(DataSourceStreamReader):
             state, ranges = self._next_state(start)
             self.progress.write(end["version"], state, ranges)
             self.planned = (end["version"], state)
-            return ranges
-        return self.progress.between(start, end)
+        else:
+            ranges = self.progress.between(start, end)
+        self.progress.begin(end["version"])
+        return ranges
 
     def commit(self, end: dict) -> None:
         if self.progress and "version" in end:
@@ -417,7 +422,7 @@ def tail_logs(
     many files there are; a checkpoint from before can be continued with one, but not the other way. It is needed for
     limits: a batch then reads about ``max_bytes``, to the end of a line, and whole files up to ``max_files``, what has
     waited longest first. Sources of this kind are asked once in a run with ``availableNow``, which so ends after one
-    batch; other triggers go on. A batch that was planned but not begun before a crash adds to the next one.
+    batch; other triggers go on.
 
     Files are identified by inode, or by their first line (``identity="first_line"``) where the file system has none, and
     by the last bytes that were read of them. Files rotated in between are all those with the log's name in front that are

@@ -366,9 +366,15 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'absent.log', NULL, NULL, NULL, 0, 0, 'missing'""",
         "tail_first": f"{AUTH} SELECT line FROM auth_lines",
         "tail_append": f"{AUTH} SELECT event_id % 2 AS round, line FROM auth_lines",
+        "tail_bounded": f"{AUTH} SELECT line, TRUE AS fits FROM auth_lines",
+        "stream_counts": f"""{AUTH} SELECT dimension, value, count(*) AS n FROM (
+            SELECT 'event_type' AS dimension, event_type AS value FROM auth_records UNION ALL
+            SELECT 'severity', severity FROM auth_records UNION ALL
+            SELECT 'process', process FROM auth_records) GROUP BY ALL""",
         "tail_rotation": f"""{AUTH} SELECT CAST(LEAST(event_id % 5, 3) AS BIGINT) AS round,
             CAST(CASE event_id % 5 WHEN 4 THEN 1 ELSE 0 END AS INTEGER) AS segment, line FROM auth_lines""",
     }
+    sql["stream_normalize"] = f"SELECT doc_id, text FROM ({sql['normalize_messages']})"
     for name in ("normalize_messages", "expand_messages"):
         sql[f"{name}_large"] = sql[name]
     for log_type in ("syslog", "kern", "dpkg", "dmesg"):

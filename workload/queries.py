@@ -151,6 +151,67 @@ def tail_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounds(*brought).select("round", "segment", "line")
 
 
+def tail_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backlog of files in batches of at most about an eighth of it, by a stream that is started twice. ``fits`` says
+    whether a line's batch is within the limit."""
+    folder, state, output = (scratch_path(spark, name) for name in ("tail", "tail-state", "tail-out"))
+    write_shards(spark, sf_dir, folder, F.lit(True), 16)
+    total = lines_of(spark, sf_dir, "auth").agg(F.sum(F.octet_length("line") + 1)).first()[0]
+    limit = total // 8
+
+    def write(frame: DataFrame, batch: int) -> None:
+        frame.write.mode("overwrite").parquet(f"{output}/batch={batch}")
+
+    for which in ("the first batch", "the rest"):
+        lines = lf.tail_logs(spark, f"{folder}/*.log", max_bytes=limit, progress=f"{state}/progress")
+        writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", f"{state}/checkpoint")
+        # A run of this trigger is one batch.
+        query = (writer.trigger(availableNow=True) if which == "the first batch" else writer).start()
+        if which == "the first batch":
+            query.awaitTermination()
+        else:
+            query.processAllAvailable()
+            query.stop()
+    rows = spark.read.schema(lf.TAIL_SCHEMA + ", batch bigint").parquet(output)
+    sizes = rows.groupBy("batch").agg((F.sum(F.octet_length("line") + 1) <= limit).alias("fits"))
+    return rows.join(sizes, "batch").select("line", "fits")
+
+
+def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of three batches of logs that grow and are renamed; the stream starts anew for each."""
+    folder, state, counts = (scratch_path(spark, name) for name in ("tail", "tail-state", "counts"))
+    part = F.col("event_id") % 3
+
+    def run() -> None:
+        records = lf.parse_auth(lf.tail_logs(spark, f"{folder}/*.log"))
+        lf.write_counts(lf.summary_counts(records), counts, state, compact_every=2).trigger(availableNow=True).start().awaitTermination()
+
+    logs = write_shards(spark, sf_dir, folder, part == 0)
+    run()
+    more = write_shards(spark, sf_dir, scratch_path(spark, "more"), part == 1, len(logs))
+    append_files(spark, list(zip(more, logs)))
+    run()
+    for log in logs:
+        rename(spark, log, f"{log}.1")
+    write_shards(spark, sf_dir, folder, part == 2, len(logs))
+    run()
+    return lf.read_counts(spark, counts, "dimension string, value string, n bigint")
+
+
+def stream_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that come in three batches, in the order of their ids, by a stream that starts anew for each."""
+    folder, state, output = (scratch_path(spark, name) for name in ("texts", "texts-state", "tokens"))
+    texts = documents(spark, sf_dir).select("doc_id", "text")
+    last = texts.agg(F.max("doc_id")).first()[0] or 0
+    for number in range(3):
+        third = F.floor(F.col("doc_id") * 3 / (last + 1)) == number
+        texts.filter(third).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(texts.schema).parquet(folder)
+        writer = lf.normalize_stream(stream, output, state, "text", ["doc_id"], compact_every=2)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return lf.stream_messages(spark, output, texts.schema).select("doc_id", "text")
+
+
 def rounds(*frames: DataFrame) -> DataFrame:
     numbered = [frame.withColumn("round", F.lit(n).cast("bigint")) for n, frame in enumerate(frames)]
     return reduce(DataFrame.unionByName, numbered)
@@ -392,6 +453,9 @@ def queries() -> dict[str, Query]:
         "tail_first": tail_first,
         "tail_append": tail_append,
         "tail_rotation": tail_rotation,
+        "tail_bounded": tail_bounded,
+        "stream_counts": stream_counts,
+        "stream_normalize": stream_normalize,
         "detect_files": detect_files,
         "file_exists": file_exists,
         "parse_header": parse_header,
