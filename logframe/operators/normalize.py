@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import clean_pieces, empty_to_null, needs_token, split_pieces
+from ..functions.text import clean_pieces, needs_token, split_pieces
 from ..schema import LINE_ORDER
 from .dictionary import Dictionary, build_dictionary
 
@@ -37,43 +41,68 @@ def replace_words(
     head_entries: int,
     head_word_chars: int,
 ) -> DataFrame:
-    """Replace each wanted word of a text that ``lookup`` knows, and join the words by spaces.
+    """Replace each wanted word of a text that ``lookup`` knows, and join the words by spaces. Empty words are left out.
 
-    Records are shuffled once, whole, by their key. Their words meet the head of the lookup in a broadcast join
-    and are gathered again where they are. The words that the head leaves open travel alone to the rest of the
-    lookup, and what it knows of them travels back to their records. A record's other columns stay with its first
-    word.
+    The head of the lookup is broadcast, and a batch's words are looked up in it together, where they are: records are
+    neither taken apart nor moved. Only if the lookup goes on beyond its head, the distinct words that the head leaves open
+    travel to the rest of it, and what it knows of them back to their records, which are then shuffled once.
     """
-    payload = [c for c in records.columns if c not in key and c != text_col]
-    exploded = records.repartition(*key).select(
-        *key,
-        F.struct(F.col(text_col).isNull().alias("is_null"), *payload).alias("_payload"),
-        F.posexplode_outer(words).alias("_pos", "_word"),
-    )
-    word = F.col("_word")
-    exploded = exploded.select(
-        *key,
-        F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_payload")).alias("_payload"),
-        "_pos",
-        empty_to_null(word).alias("_word"),
-        F.when(wanted(word), word).alias("from"),
-    )
-    head, rest = split_head(lookup, head_entries, head_word_chars)
-    met = exploded.join(F.broadcast(head), "from", "left")
-    gathered = met.groupBy(*key).agg(
-        F.first("_payload", ignorenulls=True).alias("_payload"),
-        F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("to", "_word").alias("_token")))).alias("_tokens"),
-    )
-    is_open = F.col("to").isNull() & F.col("from").isNotNull()
-    found = met.filter(is_open).select(*key, "_pos", "from").join(rest, "from").select(*key, "_pos", "to")
-    late = found.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "to"))).alias("_late"))
-    joined = gathered.join(late, list(key), "left")
-    place = lambda t: F.coalesce(F.try_element_at("_late", t["_pos"]), t["_token"])
-    tokens = F.when(F.col("_late").isNull(), F.col("_tokens._token")).otherwise(F.transform("_tokens", place))
-    # Nulls, which stand for empty words, are left out.
-    text = F.when(~F.col("_payload.is_null"), F.array_join(tokens, " ")).alias(text_col)
-    columns = {text_col: text} | {c: F.col("_payload")[c].alias(c) for c in payload}
-    return joined.select(*[columns.get(c, F.col(c)) for c in records.columns])
+    # Whether a word is wanted depends on nothing but the word.
+    head, rest = (part.filter(wanted(F.col("from"))) for part in split_head(lookup, head_entries, head_word_chars))
+    context = records.sparkSession.sparkContext
+    # Of bounded size, see HEAD_ENTRIES.
+    known = context.broadcast(head.select("from", "to").toArrow().combine_chunks())
+    filled = F.filter(words, lambda word: word != "")
+    text = replacer(known)
+    if rest.isEmpty():
+        return records.withColumn(text_col, text(filled))
+    left_open = F.array_distinct(F.filter(filled, wanted))
+    asked = records.select(*key, F.explode(left_open).alias("from")).join(F.broadcast(head.select("from")), "from", "left_anti")
+    found = asked.join(rest, "from").groupBy(*key).agg(F.collect_list(F.struct("from", "to")).alias("_late"))
+    joined = records.join(found, list(key), "left").withColumn(text_col, late_replacer(known)(filled, F.col("_late")))
+    return joined.select(*records.columns)
+
+
+def replacer(known: Broadcast) -> Callable[[Column], Column]:
+    """Words to text, by a table of ``from`` and ``to``."""
+
+    def run(words: pa.Array) -> pa.Array:
+        table = known.value
+        flat = words.flatten()
+        place = pc.index_in(flat, value_set=table.column("from"))
+        new = pc.coalesce(pc.take(table.column("to").combine_chunks(), place), flat)
+        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(words), 0)).cast(pa.int32())
+        bounds = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+        return pc.if_else(words.is_valid(), pc.binary_join(pa.ListArray.from_arrays(bounds, new), " "), None)
+
+    return F.arrow_udf(run, "string")
+
+
+def late_replacer(known: Broadcast) -> Callable[[Column, Column], Column]:
+    """As ``replacer``, with a record's own ``from`` and ``to`` for words that the table has not."""
+
+    def run(words: pa.Array, late: pa.Array) -> pa.Array:
+        table = known.value
+        own = late.is_valid().to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(own)
+        changed = []
+        for each, more in zip(words.take(rows).to_pylist(), late.take(rows).to_pylist()):
+            more = {pair["from"]: pair["to"] for pair in more}
+            changed.append([more.get(word, word) for word in each])
+        lengths = pc.fill_null(pc.list_value_length(words), 0)
+        flat = words.flatten()
+        place = pc.index_in(flat, value_set=table.column("from"))
+        new = pc.coalesce(pc.take(table.column("to").combine_chunks(), place), flat)
+        # A word that the head has is in no record's own table.
+        if changed:
+            inside = np.repeat(own, lengths.to_numpy(zero_copy_only=False))
+            left_open = inside & place.is_null().to_numpy(zero_copy_only=False)
+            later = pa.array([word for each in changed for word in each], flat.type)
+            new = pc.replace_with_mask(new, pa.array(left_open), later.filter(pa.array(left_open[inside])))
+        bounds = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(lengths).cast(pa.int32())])
+        return pc.if_else(words.is_valid(), pc.binary_join(pa.ListArray.from_arrays(bounds, new), " "), None)
+
+    return F.arrow_udf(run, "string")
 
 
 def normalize_messages(
@@ -87,7 +116,7 @@ def normalize_messages(
     """Texts in cleaned words, each replaced by its token where it has one. Null becomes empty.
 
     ``key`` must tell all records apart and hold no null. At most ``head_entries`` words of at most ``head_word_chars``
-    characters are broadcast; the others are joined by a shuffle of the words that need them.
+    characters are broadcast; the others are joined by a shuffle of the distinct words that need them.
     """
     lookup = dictionary.entries.select(F.col("word").alias("from"), F.col("token").alias("to"), "token_no")
     present = records.withColumn(text_col, F.coalesce(text_col, F.lit("")))
