@@ -25,12 +25,23 @@ from .sample import remainder
 from .suffixes import cut_repeats
 
 
+#: Workers live on between tasks: with these they give back what large arrays took.
+WORKER_MEMORY = {
+    "MALLOC_ARENA_MAX": "1",
+    "MALLOC_MMAP_THRESHOLD_": str(1 << 20),
+    "MALLOC_TRIM_THRESHOLD_": str(4 << 20),
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+}
+
+
 def known_to_workers(spark: SparkSession) -> None:
     """Let Python workers of a local session find this package where the driver has; a cluster has it installed."""
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    for name, value in WORKER_MEMORY.items():
+        environment.setdefault(name, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

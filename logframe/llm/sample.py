@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+#: So many labels at most are broadcast with their numbers of documents.
+MOST_LABELS = 10_000
+
+
 def remainder(id_column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo a number."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus
@@ -23,6 +27,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, most_cha
     # Orders are even over all 64-bit numbers: so many of them hold the first ones of a label almost surely.
     sizes = known.groupBy("label").agg(F.count("*").alias("n"))
     share = (F.col("order").cast("double") + 2.0**63) / 2.0**64
+    # A row for each label, to all labelled ids, which need not move for it.
+    if sizes.count() <= MOST_LABELS:
+        sizes = F.broadcast(sizes)
     few = known.join(sizes, "label").filter((F.col("n") <= 4 * per_label) | (share * F.col("n") <= 2 * per_label + 100))
     ranked = few.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_label)
     chosen = ranked.select("label", "doc_id", "order").distinct()
