@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import clean_pieces, needs_token, split_pieces
 from ..schema import LINE_ORDER
+from ..session import materialize
 from .dictionary import Dictionary, build_dictionary
 
 # The head of a dictionary is broadcast. These defaults bound its size whatever the dictionary holds: at most
@@ -19,6 +19,9 @@ from .dictionary import Dictionary, build_dictionary
 HEAD_ENTRIES = 500_000
 HEAD_WORD_CHARS = 64
 
+# Texts of a batch that are in Python's own form at a time.
+_ROWS = 256
+
 
 def split_head(lookup: DataFrame, entries: int, chars: int) -> tuple[DataFrame, DataFrame]:
     """Cut ``from, to, token_no`` into a head of bounded size and the rest.
@@ -43,37 +46,46 @@ def replace_words(
 ) -> DataFrame:
     """Replace each wanted word of a text that ``lookup`` knows, and join the words by spaces. Empty words are left out.
 
-    The head of the lookup is broadcast, and a batch's words are looked up in it together, where they are: records are
-    neither taken apart nor moved. Only if the lookup goes on beyond its head, the distinct words that the head leaves open
-    travel to the rest of it, and what it knows of them back to their records, which are then shuffled once.
+    The head of the lookup is broadcast to the tasks that rewrite the texts, where they are: records are neither taken
+    apart nor moved. Only if the lookup goes on beyond its head, the records are kept with their words, the distinct words
+    that the head leaves open travel to the rest of the lookup, and what it knows of them back to their records, which are
+    then shuffled once.
     """
     # Whether a word is wanted depends on nothing but the word.
     head, rest = (part.filter(wanted(F.col("from"))) for part in split_head(lookup, head_entries, head_word_chars))
-    context = records.sparkSession.sparkContext
     # Of bounded size, see HEAD_ENTRIES.
-    known = context.broadcast(head.select("from", "to").toArrow().combine_chunks())
-    filled = F.filter(words, lambda word: word != "")
-    text = replacer(known)
+    pairs = head.select("from", "to").toArrow()
+    entries = dict(zip(pairs.column("from").to_pylist(), pairs.column("to").to_pylist()))
+    known = records.sparkSession.sparkContext.broadcast(entries)
+    spaced = records.withColumn(text_col, F.array_join(words, " "))
     if rest.isEmpty():
-        return records.withColumn(text_col, text(filled))
-    left_open = F.array_distinct(F.filter(filled, wanted))
-    asked = records.select(*key, F.explode(left_open).alias("from")).join(F.broadcast(head.select("from")), "from", "left_anti")
+        return spaced.withColumn(text_col, replacer(known)(F.col(text_col)))
+    # Read twice; what made the records, and the search for words, runs once.
+    kept = materialize(spaced)
+    each = kept.select(*key, F.explode(F.array_distinct(F.split(text_col, " "))).alias("from"))
+    left_open = each.filter((F.col("from") != "") & wanted(F.col("from")))
+    asked = left_open.join(F.broadcast(head.select("from")), "from", "left_anti")
     found = asked.join(rest, "from").groupBy(*key).agg(F.collect_list(F.struct("from", "to")).alias("_late"))
-    joined = records.join(found, list(key), "left").withColumn(text_col, late_replacer(known)(filled, F.col("_late")))
-    return joined.select(*records.columns)
+    joined = kept.repartition(*key).join(found, list(key), "left")
+    return joined.withColumn(text_col, late_replacer(known)(F.col(text_col), F.col("_late"))).select(*records.columns)
 
 
 def replacer(known: Broadcast) -> Callable[[Column], Column]:
-    """Words to text, by a table of ``from`` and ``to``."""
+    """Words between spaces to the words that stand for them in a table."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        get = known.value.get
+
+        def replaced(text: str | None) -> str | None:
+            return None if text is None else " ".join([get(word, word) for word in text.split(" ") if word])
 
-    def run(words: pa.Array) -> pa.Array:
-        table = known.value
-        flat = words.flatten()
-        place = pc.index_in(flat, value_set=table.column("from"))
-        new = pc.coalesce(pc.take(table.column("to").combine_chunks(), place), flat)
-        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(words), 0)).cast(pa.int32())
-        bounds = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-        return pc.if_else(words.is_valid(), pc.binary_join(pa.ListArray.from_arrays(bounds, new), " "), None)
+        return pa.chunked_array(
+            [
+                pa.array([replaced(text) for text in texts.slice(at, _ROWS).to_pylist()], pa.string())
+                for at in range(0, len(texts), _ROWS)
+            ],
+            pa.string(),
+        ).combine_chunks()
 
     return F.arrow_udf(run, "string")
 
@@ -81,26 +93,28 @@ def replacer(known: Broadcast) -> Callable[[Column], Column]:
 def late_replacer(known: Broadcast) -> Callable[[Column, Column], Column]:
     """As ``replacer``, with a record's own ``from`` and ``to`` for words that the table has not."""
 
-    def run(words: pa.Array, late: pa.Array) -> pa.Array:
-        table = known.value
-        own = late.is_valid().to_numpy(zero_copy_only=False)
-        rows = np.flatnonzero(own)
-        changed = []
-        for each, more in zip(words.take(rows).to_pylist(), late.take(rows).to_pylist()):
-            more = {pair["from"]: pair["to"] for pair in more}
-            changed.append([more.get(word, word) for word in each])
-        lengths = pc.fill_null(pc.list_value_length(words), 0)
-        flat = words.flatten()
-        place = pc.index_in(flat, value_set=table.column("from"))
-        new = pc.coalesce(pc.take(table.column("to").combine_chunks(), place), flat)
-        # A word that the head has is in no record's own table.
-        if changed:
-            inside = np.repeat(own, lengths.to_numpy(zero_copy_only=False))
-            left_open = inside & place.is_null().to_numpy(zero_copy_only=False)
-            later = pa.array([word for each in changed for word in each], flat.type)
-            new = pc.replace_with_mask(new, pa.array(left_open), later.filter(pa.array(left_open[inside])))
-        bounds = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(lengths).cast(pa.int32())])
-        return pc.if_else(words.is_valid(), pc.binary_join(pa.ListArray.from_arrays(bounds, new), " "), None)
+    def run(texts: pa.Array, late: pa.Array) -> pa.Array:
+        get = known.value.get
+
+        def replaced(text: str | None, own: dict[str, str]) -> str | None:
+            if text is None:
+                return None
+            # A word that the table has is in no record's own table.
+            return " ".join([own[word] if word in own else get(word, word) for word in text.split(" ") if word])
+
+        done = []
+        for at in range(0, len(texts), _ROWS):
+            own = late.slice(at, _ROWS)
+            pairs = own.flatten()
+            old, new = pairs.field("from").to_pylist(), pairs.field("to").to_pylist()
+            ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(own), 0)).to_pylist()
+            begins = [0, *ends]
+            some = [
+                replaced(text, dict(zip(old[begin:end], new[begin:end])))
+                for text, begin, end in zip(texts.slice(at, _ROWS).to_pylist(), begins, ends)
+            ]
+            done.append(pa.array(some, pa.string()))
+        return pa.chunked_array(done, pa.string()).combine_chunks()
 
     return F.arrow_udf(run, "string")
 

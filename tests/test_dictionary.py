@@ -1,11 +1,14 @@
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import logframe as lf
 from logframe.operators.dictionary import drop_old_versions
+from logframe.operators.normalize import late_replacer
 
 MESSAGES = [
     "Password rejected for carol from 10.1.1.9",
@@ -159,3 +162,23 @@ def test_import(spark, tmp_path):
     for path in (bad, tmp_path / "absent.json"):
         empty = lf.import_dictionary(spark, str(path))
         assert (empty.size(), empty.counter) == (0, 1)
+
+
+def test_a_batch_is_rewritten_in_slices():
+    class Known:
+        value = {"known": "TK0001"}
+
+    rows, words = 20_000, 40
+    text = " ".join(f"word{n}" for n in range(words)) + "  known"
+    pairs = [{"from": f"word{n}", "to": f"TK{n:06d}"} for n in range(words)]
+    kind = pa.list_(pa.struct([("from", pa.string()), ("to", pa.string())]))
+    late = pa.concat_arrays([pa.array([pairs] * 1000, kind)] * (rows // 1000 - 1) + [pa.array([None] * 1000, kind)])
+    texts = pa.array([text] * (rows - 1) + [None])
+    tracemalloc.start()
+    found = late_replacer(Known).func(texts, late)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0].as_py() == " ".join(pair["to"] for pair in pairs) + " TK0001"
+    assert found[rows - 2].as_py() == text.replace("  known", " TK0001") and found[rows - 1].as_py() is None
+    # All pairs as Python's own objects would be more than 200 MB.
+    assert peak < 20e6
