@@ -1,4 +1,5 @@
 import gzip
+import os
 from pathlib import Path, PurePath
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.errors import AnalysisException
 
 import logframe as lf
 from logframe.session import sizing
+from workload.files import cut_in_half, write_files
 
 AUTH = "2026-01-01T00:00:00+00:00 h sshd[1]: Failed password for root from 10.0.0.1 port 22 ssh2\n"
 DPKG = "2026-07-01 10:00:00 install vim:amd64 1.0\n"
@@ -133,3 +135,15 @@ def test_run_over_some_files(spark, tmp_path):
     assert found.pop("dmesg.2.gz")[0] == "failed"
     assert found == {"auth.log": ("ok", 3), "dmesg.1.gz": ("ok", 20_000), "kern.log": ("missing", 0)}
     assert lf.process_logs(spark, paths[1:], tolerant=True)[1].count() == 0
+
+
+def test_files_written_at_once_and_cut(spark, tmp_path):
+    lines = spark.range(9).selectExpr("concat('line ', id) line", "id % 2 * 2 file")
+    files = [str(tmp_path / f"auth.log.{n}.gz") for n in range(4)]
+    write_files(lines, "file", str(tmp_path / "scratch"), files, "gzip")
+    found = [gzip.open(file, "rt").read().split() for file in files]
+    assert [sorted(f for f in each if f != "line") for each in found] == [list("02468"), [], list("1357"), []]
+    size = os.path.getsize(files[0])
+    whole = open(files[0], "rb").read()
+    cut_in_half(spark, files[0])
+    assert open(files[0], "rb").read() == whole[: size // 2]

@@ -13,7 +13,7 @@ from logframe.functions.text import clean_utf8, clean_words, needs_token
 from logframe.schema import RECORD_SCHEMA
 from logframe.session import scratch_path
 
-from .files import append_files, cut_in_half, move, rename, write_logs, write_parts
+from .files import append_files, cut_in_half, rename, write_files, write_logs, write_parts
 from .lines import LINES, concat, file_path, lines_of, mixed_lines, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -247,13 +247,16 @@ FILE_SHARDS = 4
 def write_catalogue(spark: SparkSession, sf_dir: str) -> str:
     """Files of four kinds, each a fourth of the events' lines: plain, gzip, without a format, and gzip cut in half."""
     folder = scratch_path(spark, "catalogue")
-    for log_type, name in {"auth": "auth.log.{}", "dmesg": "dmesg.{}.gz", "kern": "nginx.log.{}", "syslog": "syslog.{}.gz"}.items():
-        for shard in range(FILE_SHARDS):
-            lines = lines_of(spark, sf_dir, log_type).filter(F.col("event_id") % FILE_SHARDS == shard)
-            parts = write_parts(lines.coalesce(1), scratch_path(spark, "shard"), "gzip" if name.endswith("gz") else "none")
-            move(spark, parts[0], f"{folder}/{name.format(shard)}")
-            if log_type == "syslog":
-                cut_in_half(spark, f"{folder}/{name.format(shard)}")
+    kinds = {"none": {"auth": "auth.log.{}", "kern": "nginx.log.{}"}, "gzip": {"dmesg": "dmesg.{}.gz", "syslog": "syslog.{}.gz"}}
+    for compression, names in kinds.items():
+        shards = [
+            lines_of(spark, sf_dir, log_type).select("line", (F.col("event_id") % FILE_SHARDS + place * FILE_SHARDS).alias("file"))
+            for place, log_type in enumerate(names)
+        ]
+        files = [f"{folder}/{name.format(shard)}" for name in names.values() for shard in range(FILE_SHARDS)]
+        write_files(reduce(DataFrame.unionByName, shards), "file", scratch_path(spark, "shards"), files, compression)
+    for shard in range(FILE_SHARDS):
+        cut_in_half(spark, f"{folder}/{kinds['gzip']['syslog'].format(shard)}")
     return folder
 
 
