@@ -18,6 +18,8 @@ from .text import BASE, U64, mix, pieces, shingle_hashes, word_hashes
 STAR_PART = 64
 #: Members of a bucket that are compared by their sketches in one group.
 REST_BLOCK = 1024
+#: So often the main component of each bucket is asked before all others are.
+MAIN_ROUNDS = 2
 #: Documents of a component whose texts are compared in one group.
 TEXT_BLOCK = 256
 
@@ -161,8 +163,8 @@ def near_duplicates(
     Equal sets are one class, whose smallest id stands for it, so thousands of copies cost no pairs. Each class has
     ``bands * rows`` bins of one permutation hash, densified; classes with an equal band form a bucket. In a bucket
     everyone is compared with the smallest id only: a star. What is still in two components of a bucket after that
-    is no matter for stars with one centre: each member outside the centre's component then gets a star of its own
-    with the members of other components. Pairs are confirmed on the full sets. A link at the threshold shares
+    is no matter for stars with one centre: each member outside the component that has most of the bucket is compared
+    with that one, and those still outside are compared with the members of all. Pairs are confirmed on the full sets. A link at the threshold shares
     no band, and is missed, with probability ``(1 - s**rows)**bands``: 2e-6 at the default 0.75.
 
     A null or empty text, or one without words, has 0 shingles and no links. A row without an id has no links, a
@@ -189,11 +191,19 @@ def near_duplicates(
         links = stored(confirm(stars, docs, size, percent), "links")
         found = stored(components(links), "components")
 
-        asked = stored(rest(members, found, marked, percent), "asked")
-        if not asked.isEmpty():
-            others = stored(meet_components(asked, found, docs, size, percent, bands, rows), "links")
-            if not others.isEmpty():
-                found = stored(components(links.unionByName(others)), "components")
+        # Whoever finds a link to the main component asks the others no more, so those who do are few.
+        settled = False
+        for every in [*[False] * MAIN_ROUNDS, True]:
+            if settled and not every:
+                continue
+            asked = stored(rest(members, found, marked, percent, every, settled), "asked")
+            settled = asked.isEmpty()
+            if not settled:
+                others = stored(meet_components(asked, found, docs, size, percent, bands, rows), "links")
+                settled = others.isEmpty()
+                if not settled:
+                    links = links.unionByName(others)
+                    found = stored(components(links), "components")
 
         of_copies = copies.groupBy("doc_id").agg(F.min("class").alias("class"))
         out = marked.select("doc_id", F.col("n").alias("n_shingles")).join(of_copies, "doc_id", "left")
@@ -215,20 +225,27 @@ def may_be_similar(size: int, bins: np.ndarray, sizes: np.ndarray, others: np.nd
     return possible
 
 
-def rest(members: DataFrame, found: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
+def rest(
+    members: DataFrame, found: DataFrame, marked: DataFrame, percent: int, every: bool, settled: bool
+) -> DataFrame:
     """``component, doc_id``: members outside their bucket's main component, and the other components they may belong to.
 
-    Members of one bucket are looked at in blocks, by their numbers of shingles and their bins.
+    The main component has the most members of the bucket. It alone is asked, or ``every`` one; the main one is left out
+    where all questions to it are ``settled``. Members of one bucket are looked at in blocks, by their numbers of
+    shingles and their bins.
     """
-    of = lambda column: F.coalesce("component", column)
     placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.withColumn("own", of("doc_id")).drop("component")
-    placed = placed.join(found.withColumnRenamed("node", "centre"), "centre", "left")
-    placed = stored(placed.withColumn("main", of("centre")).drop("component"), "buckets")
-    mixed = placed.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low < high")
-    placed = placed.join(mixed.select("key"), "key").join(marked.select("doc_id", "n", "bins"), ["doc_id", "n"])
+    placed = stored(placed.withColumn("own", F.coalesce("component", "doc_id")).drop("component"), "buckets")
+    parts = placed.groupBy("key", "own").agg(F.count("*").alias("size"))
+    parts = parts.groupBy("key").agg(F.min(F.struct(-F.col("size"), "own")).own.alias("main"), F.count("*").alias("parts"))
+    placed = placed.join(parts.filter("parts > 1").select("key", "main"), "key")
+    placed = placed.join(marked.select("doc_id", "n", "bins"), ["doc_id", "n"])
     placed = stored(placed.select("key", "doc_id", "n", "own", "main", "bins"), "buckets")
     apart = placed.filter("own <> main")
+    if not every:
+        placed = placed.filter("own = main")
+    elif settled:
+        placed = apart
     together = meet_in_blocks(apart, placed, "key", F.col("doc_id"), F.col("doc_id"), REST_BLOCK, REST_BLOCK)
 
     def compare(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

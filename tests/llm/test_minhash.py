@@ -93,3 +93,23 @@ def test_components(spark):
                 wanted[node] = merged
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.component for r in got} == {n: min(s) for n, s in wanted.items() if s}
+
+
+def test_copies_of_a_text_that_is_no_centre(spark, monkeypatch):
+    """Copies are linked with a text of the largest id, not with each other: questions grow as copies, not as their pairs."""
+    rng, base = random.Random(3), [f"w{k}" for k in range(400)]
+    copies = [list(base) for _ in range(150)]
+    for i, words in enumerate(copies):
+        for k in rng.sample(range(0, 400, 5), 8):
+            words[k] = f"own{i}x{k}"
+    rows = [*((i, " ".join(words)) for i, words in enumerate(copies)), (1000, " ".join(base))]
+    asked, before = [], minhash.rest
+
+    def rest(*args):
+        out = before(*args)
+        asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "rest", rest)
+    assert found(frame(spark, rows)) == brute_force(rows)
+    assert sum(asked) < 10 * len(rows)
