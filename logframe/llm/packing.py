@@ -31,8 +31,12 @@ LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _bytes = np.arange(256)
 _is_word = ~np.isin(_bytes, SEPARATORS)
-_is_letter = ((_bytes | 32) >= ord("a")) & ((_bytes | 32) <= ord("z")) & (_bytes < 128)
-_is_end = np.isin(_bytes, list(b".,;:!?"))
+#: Kinds of bytes: signs of ASCII are 0, what is beyond ASCII is no kind.
+_LETTER, _DIGIT, _OTHER = 1, 2, 3
+_kind = np.zeros(256, np.uint8)
+_kind[((_bytes | 32) >= ord("a")) & ((_bytes | 32) <= ord("z"))] = _LETTER
+_kind[(_bytes >= ord("0")) & (_bytes <= ord("9"))] = _DIGIT
+_kind[128:] = _OTHER
 
 
 def _any(data: np.ndarray, values: np.ndarray) -> bool:
@@ -67,6 +71,11 @@ class WordEncoder:
         self.letters_apart = kinds == ["NFC", "Replace", "Lowercase"] and (
             first.get("pattern") == {"Regex": LETTERS_APART} and first["behavior"] == "Removed" and first["invert"]
         )
+        # Small letters of ASCII go through all steps before the model as they are.
+        then = [{k: n.get(k) for k in ("type", "add_prefix_space", "use_regex")} for n in told["pre_tokenizer"]["pretokenizers"][1:]] if first else []
+        bytes_only = then == [{"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]
+        bare = told | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.letters = Tokenizer.from_str(json.dumps(bare)) if self.letters_apart and bytes_only else None
         self.added = np.array(sorted({t["content"].encode()[0] for t in told["added_tokens"] if t["content"]}), np.uint8)
         self.codes, self.ids, self.ends = WordCodes(), np.zeros(0, np.int32), np.zeros(1, np.int64)
         self._turn()
@@ -81,9 +90,10 @@ class WordEncoder:
     def _words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The bytes of all words, the places between words, and the number of words before each text.
 
-        Where the tokenizer reads letters apart from signs and small letters for capitals, so does this: signs that end a
-        sentence after a letter of ASCII are words of their own, and such letters are small ones, unless a mark may follow
-        that makes another letter of them. Words that may hold a token added to the tokenizer stay as they are.
+        Where the tokenizer reads letters apart from signs, each digit by itself, and small letters for capitals, so does
+        this between two characters of ASCII: runs of letters, digits and runs of signs are words of their own, but for
+        letters after an apostrophe, which may be one token with it. Such letters are small ones, unless a mark may
+        follow that makes another letter of them. Words that may hold a token added to the tokenizer stay as they are.
         """
         starts, ends = word_spans(data, offsets)
         inside = _is_word[data]
@@ -97,7 +107,10 @@ class WordEncoder:
             if _any(data, self.added):
                 odd = np.add.reduceat(np.isin(data, self.added), np.flatnonzero(begins[:-1])) > 0
                 free = ~np.repeat(odd, lengths)
-            begins[1:-1] |= _is_end[data[1:]] & _is_letter[data[:-1]] & free[1:]
+            kind, last = _kind[data], data[:-1] == ord("'")
+            apart = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+            known = (kind[1:] != _OTHER) & (kind[:-1] != _OTHER)
+            begins[1:-1] |= apart & known & free[1:] & ~(last & (kind[1:] == _LETTER))
             capital = (data >= ord("A")) & (data <= ord("Z")) & free
             capital[:-1] &= data[1:] < 0x80
             data = data + np.uint8(32) * capital
@@ -138,6 +151,20 @@ class WordEncoder:
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each word has."""
+        if self.letters:
+            plain = np.array([word.isascii() and word.isalpha() and word.islower() for word in words], bool)
+            if plain.all():
+                return self._encode_letters(words)
+            if plain.any():
+                parts = [self._encode_letters([words[k] for k in np.flatnonzero(plain)])]
+                parts.append(self._encode_words([words[k] for k in np.flatnonzero(~plain)]))
+                lengths = np.empty(len(words), np.int64)
+                lengths[plain], lengths[~plain] = parts[0][1], parts[1][1]
+                ends = np.cumsum(lengths)
+                ids = np.empty(ends[-1], np.int32)
+                for own, (found, n) in zip((plain, ~plain), parts):
+                    ids[ragged((ends - lengths)[own], n)] = found
+                return ids, lengths
         ids, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         alone = [k for k, word in enumerate(words) if MARK in word or len(self.mark) != 1]
         for a, b in zip([-1, *alone], [*alone, len(words)]):
@@ -152,6 +179,17 @@ class WordEncoder:
         return np.concatenate(ids), np.concatenate(lengths)
 
 
+    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_encode_words``, of words of small letters of ASCII alone, by the tokenizer's model."""
+        texts = [f" {MARK} ".join(words[at : at + 500]) for at in range(0, len(words), 500)]
+        ids = [np.zeros(0, np.int32)]
+        for done in self.letters.encode_batch_fast(texts, add_special_tokens=False):
+            ids += [np.array(done.ids, np.int32), self.mark]
+        ids = np.concatenate(ids)
+        marks = np.flatnonzero(ids == self.mark[0])
+        return np.delete(ids, marks), np.diff(np.concatenate([[-1], marks])) - 1
+
+
 @lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:
     """One for all tasks of a worker, as the file takes long to read."""

@@ -83,3 +83,16 @@ def test_word_by_word_is_the_same(monkeypatch):
             assert [*encoder.encode([text])[0], 2] == token_ids([text])[0].tolist()
     assert encoder.letters_apart
     assert [x.tolist() for x in encoder.encode(texts)] == [x[:-1].tolist() for x in token_ids(texts)]
+
+
+def test_kinds_of_characters_are_words_of_their_own():
+    """Fewer distinct words; each is encoded once. Capital letters before others than ASCII keep to the whole tokenizer."""
+    encoder = WordEncoder(tokenizer())
+    data, places, _ = encoder._words(np.frombuffer("Ab12,(cd's.'tw)".encode(), np.uint8), np.array([0, 15]))
+    raw = data.tobytes().decode()
+    assert [raw[a:b] for a, b in zip(places, places[1:])] == ["ab", "1", "2", ",(", "cd", "'s", ".'tw", ")"]
+    rng = np.random.default_rng(5)
+    signs = [*"aBsStrRvelLmMd''0159~.,;:!?-_=<>|()&\x1c \n", "é", "é", "İ", "ß", "̸", "Ⅷ", "٣", "中", " ", "K", "ſ", "Y íbo", "<|endoftext|>"]
+    texts = ["".join(rng.choice(signs, rng.integers(1, 40))) for _ in range(5000)]
+    for text, wanted, got in zip(texts, token_ids(texts), encoder.encode(texts)):
+        assert list(wanted[:-1]) == got.tolist(), text
