@@ -181,14 +181,18 @@ def near_duplicates(
         copies = sets.select("doc_id", *alike).join(groups, alike).filter("doc_id > class")
         copies = stored(copies.select("doc_id", "sum", "xor", "class"), "copies")
 
-        classes = sets.join(copies, ["doc_id", "sum", "xor"], "left_anti")
+        # Copies and members of stars grow with the documents: joins with them are alike at every size, none is broadcast.
+        classes = sets.join(copies.hint("merge"), ["doc_id", "sum", "xor"], "left_anti")
         keys = classes.select("doc_id", "n", F.explode("bands").alias("key"))
         buckets = keys.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last"))
         buckets = buckets.filter("centre < last").drop("last")
         members = stored(keys.join(buckets, "key"), "buckets")
 
         stars = stored(members.filter("doc_id <> centre").select("centre", "doc_id").distinct(), "stars")
-        links = stored(confirm(stars, docs, size, percent), "links")
+        # Whoever is in a bucket with others is in a star; all other texts are read no more.
+        nodes = stars.select("doc_id").unionByName(stars.select(F.col("centre").alias("doc_id"))).distinct()
+        texts = stored(docs.join(nodes.hint("merge"), "doc_id", "left_semi"), "texts")
+        links = stored(confirm(stars, texts, size, percent), "links")
         found = stored(components(links), "components")
 
         # Whoever finds a link to the main component asks the others no more, so those who do are few.
@@ -199,7 +203,7 @@ def near_duplicates(
             asked = stored(rest(members, found, marked, percent, every, settled), "asked")
             settled = asked.isEmpty()
             if not settled:
-                others = stored(meet_components(asked, found, docs, size, percent, bands, rows), "links")
+                others = stored(meet_components(asked, found, texts, size, percent, bands, rows), "links")
                 settled = others.isEmpty()
                 if not settled:
                     links = links.unionByName(others)

@@ -113,3 +113,22 @@ def test_copies_of_a_text_that_is_no_centre(spark, monkeypatch):
     monkeypatch.setattr(minhash, "rest", rest)
     assert found(frame(spark, rows)) == brute_force(rows)
     assert sum(asked) < 10 * len(rows)
+
+
+def test_texts_of_stars_are_taken_once(documents, monkeypatch):
+    """What compares texts gets a table of those alone that some bucket holds with others."""
+    given = []
+    for name in ("confirm", "meet_components"):
+        own = getattr(minhash, name)
+        at = 1 if name == "confirm" else 2
+
+        def call(*args, own=own, at=at):
+            given.append(args[at])
+            stars = args[0]
+            assert not stars.select("doc_id").join(args[at], "doc_id", "left_anti").head()
+            assert args[at].count() < documents.count()
+            return own(*args)
+
+        monkeypatch.setattr(minhash, name, call)
+    assert near_duplicates(documents).count() == documents.count()
+    assert given and all(texts.inputFiles() == given[0].inputFiles() for texts in given)
