@@ -76,6 +76,23 @@ def test_keyed_table(spark, tmp_path):
     assert table.count() == 3
 
 
+def test_an_ordered_append_makes_its_records_once(spark, tmp_path):
+    """And counting reads the log alone."""
+    calls = tmp_path / "calls"
+
+    def noted(batches):
+        with calls.open("a") as file:
+            file.write("x")
+        yield from batches
+
+    table = lf.KeyedTable(spark, str(tmp_path / "keyed"))
+    table.append(spark.range(0, 100, 1, 3).mapInArrow(noted, "id long"), order_by=["id"])
+    assert calls.read_text() == "xxx"
+    assert [r.id for r in table.read().orderBy("id").collect()] == list(range(1, 101))
+    shutil.rmtree(table.rows_path)
+    assert table.count() == 100
+
+
 def test_broken_append_and_clear(spark, tmp_path):
     table = lf.KeyedTable(spark, str(tmp_path / "keyed"))
     frame = spark.range(5).withColumnRenamed("id", "k")
