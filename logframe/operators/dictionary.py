@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import clean_pieces, needs_token
+from ..functions.words import first_token_words, token_words
 from ..schema import DICTIONARY_SCHEMA, LINE_ORDER
 from ..session import materialize
 from .numbering import number_rows
@@ -56,15 +56,16 @@ def seed_dictionary(spark: SparkSession) -> Dictionary:
 def first_occurrences(records: DataFrame, text_col: str, order_by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Each word that needs a token, with the columns that put words in the order of their first occurrence.
 
-    A record sends each of its words once. Words are counted down map-side, so a word that most records hold is
-    one row per task when it is shuffled. Hash aggregation needs keys of a fixed width: one order column is such a key.
+    A record sends each of its words once, and with a number to order by, a batch of records sends each of its words for
+    the first of them only. Words are counted down map-side, so a word that most records hold is one row per task when it
+    is shuffled. Hash aggregation needs keys of a fixed width: one order column is such a key.
     Of several, the last two go into one decimal with the place in the record, and words are first reduced to one for
     each combination of the others (for scanned lines, of each block of a file); those few are then numbered.
     """
-    words = records.select(
-        *order_by, F.posexplode(F.array_distinct(clean_pieces(F.col(text_col)))).alias("place", "word")
-    ).filter(needs_token(F.col("word")))
     kinds = dict(records.dtypes)
+    numbered = len(order_by) == 1 and kinds[order_by[0]] in ("bigint", "int")
+    listed = first_token_words(F.col(text_col), F.col(order_by[0])) if numbered else token_words(F.col(text_col))
+    words = records.select(*order_by, F.posexplode(listed).alias("place", "word"))
     packed = order_by[-2:] if len(order_by) > 2 and kinds[order_by[-1]] == "int" else order_by[-1:]
     if len(order_by) == 1 or any(kinds[c] not in ("bigint", "int") for c in packed):
         key = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)

@@ -9,7 +9,8 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import clean_pieces, needs_token, split_pieces
+from ..functions.text import needs_token
+from ..functions.words import ROWS, cleaned, lowered, opened, replaced
 from ..schema import LINE_ORDER
 from ..session import materialize
 from .dictionary import Dictionary, build_dictionary
@@ -19,9 +20,6 @@ from .dictionary import Dictionary, build_dictionary
 HEAD_ENTRIES = 500_000
 HEAD_WORD_CHARS = 64
 
-# Texts of a batch that are in Python's own form at a time.
-_ROWS = 256
-
 
 def split_head(lookup: DataFrame, entries: int, chars: int) -> tuple[DataFrame, DataFrame]:
     """Cut ``from, to, token_no`` into a head of bounded size and the rest.
@@ -38,13 +36,15 @@ def replace_words(
     records: DataFrame,
     text_col: str,
     key: Sequence[str],
-    words: Column,
+    text: Column,
+    pieces: Callable[[str], list[str]],
     wanted: Callable[[Column], Column],
     lookup: DataFrame,
     head_entries: int,
     head_word_chars: int,
 ) -> DataFrame:
-    """Replace each wanted word of a text that ``lookup`` knows, and join the words by spaces. Empty words are left out.
+    """Replace each wanted word of a text that ``lookup`` knows, and join the words by spaces. ``pieces`` gives the words
+    of ``text``, none of them empty.
 
     The head of the lookup is broadcast to the tasks that rewrite the texts, where they are: records are neither taken
     apart nor moved. Only if the lookup goes on beyond its head, the records are kept with their words, the distinct words
@@ -57,61 +57,41 @@ def replace_words(
     pairs = head.select("from", "to").toArrow()
     entries = dict(zip(pairs.column("from").to_pylist(), pairs.column("to").to_pylist()))
     known = records.sparkSession.sparkContext.broadcast(entries)
-    spaced = records.withColumn(text_col, F.array_join(words, " "))
     if rest.isEmpty():
-        return spaced.withColumn(text_col, replacer(known)(F.col(text_col)))
+        return records.withColumn(text_col, replaced(text, pieces, known))
     # Read twice; what made the records, and the search for words, runs once.
-    kept = materialize(spaced)
-    each = kept.select(*key, F.explode(F.array_distinct(F.split(text_col, " "))).alias("from"))
-    left_open = each.filter((F.col("from") != "") & wanted(F.col("from")))
-    asked = left_open.join(F.broadcast(head.select("from")), "from", "left_anti")
+    found_words = records.withColumn("_words", opened(text, pieces, known))
+    kept = materialize(found_words.withColumn(text_col, F.col("_words.text")).withColumn("_words", F.col("_words.open")))
+    asked = kept.select(*key, F.explode("_words").alias("from")).filter(wanted(F.col("from")))
     found = asked.join(rest, "from").groupBy(*key).agg(F.collect_list(F.struct("from", "to")).alias("_late"))
-    joined = kept.repartition(*key).join(found, list(key), "left")
+    joined = kept.drop("_words").repartition(*key).join(found, list(key), "left")
     return joined.withColumn(text_col, late_replacer(known)(F.col(text_col), F.col("_late"))).select(*records.columns)
 
 
-def replacer(known: Broadcast) -> Callable[[Column], Column]:
-    """Words between spaces to the words that stand for them in a table."""
-
-    def run(texts: pa.Array) -> pa.Array:
-        get = known.value.get
-
-        def replaced(text: str | None) -> str | None:
-            return None if text is None else " ".join([get(word, word) for word in text.split(" ") if word])
-
-        return pa.chunked_array(
-            [
-                pa.array([replaced(text) for text in texts.slice(at, _ROWS).to_pylist()], pa.string())
-                for at in range(0, len(texts), _ROWS)
-            ],
-            pa.string(),
-        ).combine_chunks()
-
-    return F.arrow_udf(run, "string")
-
-
 def late_replacer(known: Broadcast) -> Callable[[Column, Column], Column]:
-    """As ``replacer``, with a record's own ``from`` and ``to`` for words that the table has not."""
+    """Words between spaces to the words that stand for them in a table, or in a record's own ``from`` and ``to`` for words
+    that the table has not."""
 
     def run(texts: pa.Array, late: pa.Array) -> pa.Array:
         get = known.value.get
 
-        def replaced(text: str | None, own: dict[str, str]) -> str | None:
+        def rewritten(text: str | None, own: dict[str, str]) -> str | None:
             if text is None:
                 return None
+            words = text.split()
             # A word that the table has is in no record's own table.
-            return " ".join([own[word] if word in own else get(word, word) for word in text.split(" ") if word])
+            return " ".join(map(get, words, map(own.get, words, words)))
 
         done = []
-        for at in range(0, len(texts), _ROWS):
-            own = late.slice(at, _ROWS)
+        for at in range(0, len(texts), ROWS):
+            own = late.slice(at, ROWS)
             pairs = own.flatten()
             old, new = pairs.field("from").to_pylist(), pairs.field("to").to_pylist()
             ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(own), 0)).to_pylist()
             begins = [0, *ends]
             some = [
-                replaced(text, dict(zip(old[begin:end], new[begin:end])))
-                for text, begin, end in zip(texts.slice(at, _ROWS).to_pylist(), begins, ends)
+                rewritten(text, dict(zip(old[begin:end], new[begin:end])))
+                for text, begin, end in zip(texts.slice(at, ROWS).to_pylist(), begins, ends)
             ]
             done.append(pa.array(some, pa.string()))
         return pa.chunked_array(done, pa.string()).combine_chunks()
@@ -134,7 +114,8 @@ def normalize_messages(
     """
     lookup = dictionary.entries.select(F.col("word").alias("from"), F.col("token").alias("to"), "token_no")
     present = records.withColumn(text_col, F.coalesce(text_col, F.lit("")))
-    return replace_words(present, text_col, key, clean_pieces(F.col(text_col)), needs_token, lookup, head_entries, head_word_chars)
+    text = lowered(F.col(text_col))
+    return replace_words(present, text_col, key, text, cleaned, needs_token, lookup, head_entries, head_word_chars)
 
 
 def normalize(
@@ -168,6 +149,7 @@ def expand_messages(
         .agg(F.max(F.struct("token_no", "word")).alias("last"))
         .select("from", F.col("last.word").alias("to"), "last.token_no")
     )
-    words, form = split_pieces(F.col(text_col)), dictionary.token_form
+    # The bare column: what made it in Python, such as normalising, then runs in the same worker.
+    text, form = F.col(text_col), dictionary.token_form
     wanted = lambda word: word.isNotNull() if form is None else F.rlike(word, F.lit(form))
-    return replace_words(records, text_col, key, words, wanted, lookup, head_entries, head_word_chars)
+    return replace_words(records, text_col, key, text, str.split, wanted, lookup, head_entries, head_word_chars)
