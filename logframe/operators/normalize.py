@@ -144,7 +144,8 @@ def expand_messages(
     Only words of the dictionary's token form are looked up; with an imported dictionary, whose tokens may be any
     words, all of them are.
     """
-    lookup = (
+    # Its head and its rest are read on their own.
+    lookup = materialize(
         dictionary.entries.groupBy(F.col("token").alias("from"))
         .agg(F.max(F.struct("token_no", "word")).alias("last"))
         .select("from", F.col("last.word").alias("to"), "last.token_no")

@@ -76,3 +76,12 @@ def test_dictionary_of_lines_is_hash_aggregated(spark, tmp_path):
     words, order = first_occurrences(spark.read.schema(schema).parquet(path), "message", LINE_ORDER)
     assert order == ["block", "packed"]
     assert "HashAggregate" in plan(words) and "SortAggregate" not in plan(words)
+
+
+def test_normalising_and_expanding_share_a_worker(spark, tmp_path):
+    records = lines(spark, tmp_path).selectExpr("id", "line message")
+    dictionary = lf.build_dictionary(records, order_by=["id"])
+    for head in ({}, {"head_entries": 2}):
+        tokens = lf.normalize_messages(records, dictionary, key=["id"], **head)
+        # One step of Python only: of two, each would hold workers of its own.
+        assert plan(lf.expand_messages(tokens, dictionary, key=["id"])).count("ArrowEvalPython") == 1
