@@ -41,7 +41,8 @@ class BatchTable:
         folders = [f"{self.path}/all/batch={since}"] if since >= 0 else []
         folders += [f"{self.path}/changes/batch={n}" for n in self._finished("changes") if n > since and upto(n)]
         if not folders:
-            return self.spark.createDataFrame([], self.schema).withColumn("batch", F.lit(0).cast("bigint"))
+            # Not from a local list, which Python workers of its own would read.
+            return self.spark.range(0).select(F.from_json(F.lit("{}"), self.schema).alias("row"), F.col("id").alias("batch")).select("row.*", "batch")
         rows = self.spark.read.schema(self.schema).parquet(*folders)
         number = F.regexp_extract("_metadata.file_path", r"/batch=(\d+)/[^/]*$", 1).cast("bigint")
         return rows.select("*", number.alias("batch"))

@@ -2,7 +2,8 @@
 
 import logframe as lf
 from logframe.operators.dictionary import first_occurrences
-from logframe.schema import LINE_ORDER
+from logframe.schema import DICTIONARY_SCHEMA, LINE_ORDER
+from logframe.streaming.batches import BatchTable
 
 
 def plan(frame):
@@ -85,3 +86,10 @@ def test_normalising_and_expanding_share_a_worker(spark, tmp_path):
         tokens = lf.normalize_messages(records, dictionary, key=["id"], **head)
         # One step of Python only: of two, each would hold workers of its own.
         assert plan(lf.expand_messages(tokens, dictionary, key=["id"])).count("ArrowEvalPython") == 1
+
+
+def test_nothing_written_needs_no_python(spark, tmp_path):
+    rows = BatchTable(spark, str(tmp_path), DICTIONARY_SCHEMA).read()
+    assert rows.dtypes == [("word", "string"), ("token", "string"), ("token_no", "bigint"), ("batch", "bigint")]
+    # A local list would be read by Python workers of its own, beside those of the batch.
+    assert rows.count() == 0 and "ExistingRDD" not in plan(rows)
