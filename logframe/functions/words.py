@@ -1,4 +1,4 @@
-"""The rules of ``text.py`` for words, for batches of texts in Python, where they cost a tenth."""
+"""The rules of ``text.py`` for words, for batches of texts in Python."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Texts of a batch that are in Python's own form at a time.
 ROWS = 256
-# Words of a batch that are known to be sent, about 20 MB; beyond them words may be sent again.
+# Words of a batch that are known to be sent; beyond them words may be sent again.
 SEEN = 200_000
 
 _STOP = frozenset(STOP_WORDS)
