@@ -104,17 +104,12 @@ def replaced(text: Column, pieces: Callable[[str], list[str]], known: Broadcast)
     return F.arrow_udf(run, "string")(text)
 
 
-def opened(text: Column, pieces: Callable[[str], list[str]], known: Broadcast) -> Column:
-    """``text``: the words of a text joined by spaces; ``open``: its distinct words that a table does not know."""
-
-    def run(texts: pa.Array) -> pa.Array:
-        table, joined, left = known.value, [], []
-        for at in range(0, len(texts), ROWS):
-            words = [None if t is None else pieces(t) for t in strings(texts.slice(at, ROWS))]
-            joined.append(pa.array([None if w is None else " ".join(w) for w in words], pa.string()))
-            open_words = ([word for word in dict.fromkeys(w or ()) if word not in table] for w in words)
-            left.append(pa.array(open_words, pa.list_(pa.string())))
-        fields = [pa.chunked_array(joined, pa.string()), pa.chunked_array(left, pa.list_(pa.string()))]
-        return pa.StructArray.from_arrays([f.combine_chunks() for f in fields], ["text", "open"])
-
-    return F.arrow_udf(run, "struct<text: string, open: array<string>>")(text)
+def opened(texts: pa.Array, pieces: Callable[[str], list[str]], table: dict[str, str], asks: pa.Array, found: dict[str, None]) -> pa.Array:
+    """The words of each text joined by spaces. What the table does not know of a text that ``asks`` goes to ``found``."""
+    joined = []
+    for text, ask in zip(strings(texts), asks.to_pylist()):
+        words = None if text is None else pieces(text)
+        if words and ask:
+            found.update((word, None) for word in words if word not in table)
+        joined.append(None if words is None else " ".join(words))
+    return pa.array(joined, pa.string())

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.words import first_token_words, token_words
 from ..schema import DICTIONARY_SCHEMA, LINE_ORDER
-from ..session import materialize
+from ..session import materialize, materialize_packed
 from .numbering import number_rows
 
 # The words a new dictionary starts with, in token order.
@@ -101,7 +101,7 @@ def build_dictionary(
     known = dictionary or seed_dictionary(records.sparkSession)
     words, order = first_occurrences(records, text_col, order_by)
     new_words = words.join(known.entries.select("word"), "word", "left_anti")
-    numbered = number_rows(new_words, "token_no", order_by=order, start=known.counter)
+    numbered = number_rows(new_words, "token_no", order_by=order, start=known.counter, keep=materialize_packed)
     fresh = numbered.select("word", token_of(F.col("token_no")).alias("token"), "token_no")
     return Dictionary(known.entries.unionByName(fresh), known.counter + fresh.count(), known.token_form)
 

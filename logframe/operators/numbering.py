@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -12,18 +12,18 @@ from ..session import materialize
 _ROW_BITS = 33
 
 
-def number_rows(frame: DataFrame, column: str, order_by: Sequence[str] = (), start: int = 1) -> DataFrame:
+def number_rows(frame: DataFrame, column: str, order_by: Sequence[str] = (), start: int = 1, keep: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
     """Add consecutive numbers from ``start``, in the order of ``order_by`` or else in any order.
 
     Ordered rows are range-partitioned and sorted; rows that tie are spread by a hash of the whole row, so that
     a frequent value does not fill one partition. The placed rows are materialized, because their partitioning
-    must not change between counting them and numbering them. What is summed up in one task and broadcast is
+    must not change between counting them and numbering them, by ``keep``. What is summed up in one task and broadcast is
     one row per partition.
     """
     if order_by:
         keys = [F.col(c) for c in order_by] + [F.xxhash64(*[F.col(c) for c in frame.columns])]
         frame = frame.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    placed = materialize(frame.withColumn("_place", F.monotonically_increasing_id()))
+    placed = keep(frame.withColumn("_place", F.monotonically_increasing_id()))
     placed = placed.select(
         *frame.columns,
         F.shiftright("_place", _ROW_BITS).alias("_partition"),

@@ -1,6 +1,9 @@
 import json
 import random
+import sys
+import time
 import tracemalloc
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -9,6 +12,10 @@ from pyspark.sql import functions as F
 import logframe as lf
 from logframe.operators.dictionary import drop_old_versions
 from logframe.operators.normalize import late_replacer
+from logframe.session import SHUFFLE_CLEANUP, checkpoint_root, materialize
+
+# The package has a function of the module's name.
+normalizing = sys.modules[late_replacer.__module__]
 
 MESSAGES = [
     "Password rejected for carol from 10.1.1.9",
@@ -67,6 +74,54 @@ def test_many_messages(spark, head):
     assert expanded[7].message == "w21 the w22 7 w23" and expanded[-1].message == "averyveryverylongword : failed 1.5"
 
 
+def test_what_is_kept_is_smaller_than_the_texts(spark):
+    """Of texts whose words are beyond the head, and of the dictionary."""
+    messages = [" ".join(f"word{(n * k) % 700}" for k in range(1, 200)) for n in range(1, 1500)]
+    root = Path(checkpoint_root(spark).removeprefix("file:"))
+    before = {f for f in root.rglob("*") if f.is_file()}
+    tokens, dictionary = lf.normalize(frame_of(spark, messages), order_by=["seq"], head_entries=2)
+    expanded = lf.expand_messages(tokens, dictionary, key=["seq"], head_entries=2)
+    assert [r.message for r in expanded.orderBy("seq").collect()] == messages
+    kept = sum(f.stat().st_size for f in root.rglob("*") if f.is_file() and f not in before)
+    assert kept < sum(map(len, messages))
+
+
+def shuffle_folder(spark):
+    """Of a local session: where its block manager has its files."""
+    return Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+
+
+def test_shuffles_of_what_is_kept_are_deleted(spark):
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    frame = spark.range(1000).repartition(3, "id").withColumn("other", F.col("id") + 1)
+    shuffles = lambda: {f for f in shuffle_folder(spark).rglob("shuffle_*")}
+    there = shuffles()
+    kept = materialize(frame)
+    for _ in range(50):
+        if not (left := shuffles() - there):
+            break
+        time.sleep(0.1)
+    assert not left and kept.count() == frame.count() == 1000 and spark.conf.get(SHUFFLE_CLEANUP, None) == before
+
+
+@pytest.mark.parametrize("words, size", [(1, 1 << 24), (100_000, 1), (100_000, 1 << 24)])
+def test_chunks_of_records(spark, monkeypatch, words, size):
+    """Records are the same however they are cut; a key may repeat, and a record without a whole key keeps its words."""
+    monkeypatch.setattr(normalizing, "CHUNK_WORDS", words)
+    monkeypatch.setattr(normalizing, "CHUNK_BYTES", size)
+    rows = [(None if n % 50 == 3 else n // 2, f"aa w{n % 90} {'x' * (n % 7)} the", [n]) for n in range(1200)]
+    frame = spark.createDataFrame(rows, "seq bigint, message string, other array<int>").repartition(3)
+    entries = [("aa", "TK0001", 1), *((f"w{n}", f"TK{n + 2:04d}", n + 2) for n in range(80))]
+    dictionary = lf.Dictionary(spark.createDataFrame(entries, "word string, token string, token_no bigint"), 90)
+    got = lf.normalize_messages(frame, dictionary, key=["seq"], head_entries=1)
+    assert got.dtypes == frame.dtypes
+    for row in got.collect():
+        seq, message, _ = rows[row.other[0]]
+        wanted = [f"TK{int(w[1:]) + 2:04d}" if seq is not None and w[0] == "w" and int(w[1:]) < 80 else w for w in message.split()[1:]]
+        assert (row.seq, row.message) == (seq, " ".join(["TK0001", *wanted]))
+    assert got.count() == 1200
+
+
 def test_numbers_do_not_depend_on_partitions(spark):
     messages = [f"alpha{i % 37} beta{i} gamma" for i in range(200)]
     found = []
