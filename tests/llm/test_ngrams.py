@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from logframe.llm import ngrams
 from logframe.llm.eliasfano import EliasFano
 from logframe.llm.ngrams import packed, score_texts, unpacked
+from logframe.llm.queries import op2_ngram_trie
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -110,3 +111,76 @@ def test_packed():
     arrays = [np.arange(7, dtype=np.uint32), np.zeros(0), np.array([1.5, -2.0]), np.array([3], np.uint64)]
     for a, b in zip(arrays, unpacked(packed(arrays))):
         assert a.dtype == b.dtype and np.array_equal(a, b)
+
+
+def brute_force_of_triples(rows):
+    """Exact scores of each row ``text, train`` by the words before, two of them."""
+    texts = [[*WORD.findall((t or "").translate(LOWER)), None] for t, _ in rows]
+    counted = [Counter() for _ in range(3)]
+    grams = [[(a, b, c) for a, b, c in zip([0, 0, *words], [0, *words], words)] for words in texts]
+    for own, (_, train) in zip(grams, rows):
+        if train:
+            for n in range(3):
+                counted[n].update(gram[2 - n :] for gram in own)
+    total, distinct = counted[0].total(), len(counted[0])
+    discounts, contexts = [], []
+    for grams_n in counted:
+        times = Counter(grams_n.values())
+        discounts.append(times[1] / (times[1] + 2 * times[2]) if times[1] and times[2] else 0.75)
+        sums, after = Counter(), Counter()
+        for gram, n in grams_n.items():
+            sums[gram[:-1]] += n
+            after[gram[:-1]] += 1
+        contexts.append((sums, after))
+
+    def probability(gram):
+        p = (counted[0][gram[2:]] + 1) / (total + distinct + 1)
+        for n in (1, 2):
+            own, (sums, after) = gram[2 - n :], contexts[n]
+            if sums[own[:-1]]:
+                p = (max(counted[n][own] - discounts[n], 0) + discounts[n] * after[own[:-1]] * p) / sums[own[:-1]]
+        return p
+
+    return [sum(math.log10(probability(gram)) for gram in own) for own in grams]
+
+
+def check_triples(docs):
+    rows = docs.collect()
+    got = sorted(score_texts(docs, order=3).collect(), key=lambda r: (str(r.doc_id), r.n_tokens, r.score))
+    marked = [(r.text, r.train) for r in rows]
+    wanted = zip((str(r.doc_id) for r in rows), brute_force(marked), brute_force_of_triples(marked))
+    wanted = sorted(((i, *w[:4], score) for i, w, score in wanted), key=lambda w: (w[0], w[1], w[5]))
+    assert len(got) == len(wanted)
+    for r, w in zip(got, wanted):
+        assert (str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens) == w[:4]
+        assert r.base_score == pytest.approx(w[4], rel=1e-9)
+        assert abs(r.score - w[5]) <= 0.03 * r.n_tokens + 1e-9
+    return got
+
+
+@pytest.mark.parametrize("shard_tokens", [4_000_000, 3_000])
+def test_triples(documents, monkeypatch, shard_tokens):
+    """The context of a word is two words; pairs, contexts of pairs and triples may all lie in other shards."""
+    monkeypatch.setattr(ngrams, "SHARD_TOKENS", shard_tokens)
+    monkeypatch.setattr(ngrams, "CHUNK_TOKENS", 20_000)
+    check_triples(documents.withColumn("train", F.col("doc_id") % 7 != 2))
+
+
+def test_edges_of_triples(edges, nothing, monkeypatch):
+    check_triples(edges.withColumn("train", F.col("doc_id") % 2 == 0))
+    check_triples(edges.withColumn("train", F.lit(False)))
+    monkeypatch.setattr(ngrams, "SHARD_TOKENS", 50_000)
+    check_triples(edges.withColumn("train", F.lit(True)))
+    assert score_texts(nothing.withColumn("train", F.lit(True)), order=3).count() == 0
+    with pytest.raises(ValueError):
+        score_texts(nothing, order=4)
+
+
+def test_op2_is_of_triples(spark, tmp_path):
+    """Two words before tell what one does not."""
+    texts = ["a b c" if k % 2 else "x b d" for k in range(400)] + ["a b d", "a b c"] * 50
+    docs = [(k, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    held_out = op2_ngram_trie(spark, str(tmp_path)).filter("held_out AND doc_id >= 400").collect()
+    often, seldom = ({round(r.score, 6) for r in held_out if r.doc_id % 2 == k} for k in (1, 0))
+    assert len(often) == len(seldom) == 1 and often.pop() - seldom.pop() > 0.5
