@@ -143,7 +143,11 @@ def limited(
                 reached[log, file["path"]] = (begin, check(file, begin))
                 blocked = True
             elif size > left_bytes:
-                reached[log, file["path"]] = cut(file, begin, int(left_bytes))
+                end, seen = cut(file, begin, int(left_bytes))
+                if end - begin > left_bytes < max_bytes:
+                    # A line that goes beyond the room waits, unless it would be the first one read.
+                    end, seen = begin, check(file, begin)
+                reached[log, file["path"]] = (end, seen)
                 left_bytes, blocked = 0, True
             else:
                 left_bytes -= size

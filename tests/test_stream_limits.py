@@ -6,7 +6,7 @@ import os
 import pytest
 
 import logframe as lf
-from logframe.streaming.progress import ProgressLog, line_cut
+from logframe.streaming.progress import ProgressLog, limited, line_cut
 from logframe.streaming.tail import TailReader
 
 
@@ -187,3 +187,13 @@ def test_counts_of_a_rotated_log(spark, tmp_path, folder):
         batch = lf.summary_counts(lf.parse_auth(lf.read_lines(spark, str(tmp_path / f"all{number}"))))
         assert count_rows(lf.read_counts(spark, str(tmp_path / "counts"), kinds)) == count_rows(batch)
     assert sorted(os.listdir(tmp_path / "counts" / "all")) == ["batch=1", "batch=3"]
+
+
+def test_a_line_beyond_the_room_waits():
+    """After 90 of 100 bytes, a line of 30 is left to the next batch; as the first one it is read whole."""
+    files = [{"path": name, "mtime": k, "end": 90, "check": ""} for k, name in enumerate(("/a", "/b"))]
+    now = {f["path"]: {"files": {"0": f}, "current": "0"} for f in files}
+    ranges = [(f["path"], f, 0) for f in files]
+    cut = lambda file, begin, room: (begin + max(30, room // 30 * 30), "")
+    found = [limited(ranges[k:], now, most, None, cut, lambda file, at: "")[1] for k, most in ((0, 100), (1, 10))]
+    assert [[(log, file["end"] - begin) for log, file, begin in read] for read in found] == [[("/a", 90)], [("/b", 30)]]
